@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, packing, secret_scan, simhash_dedup
+from . import context_mixing, decontaminate, language_id, packing, quality_rules, secret_scan, simhash_dedup, toxicity, url_filter
 from .common import bucket_of, read
 
 
@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return os.environ.get("BYTE_BPE_FILE") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_groups(read(spark, sf_dir, "documents"))
 
@@ -32,6 +39,24 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge_quality(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    own = bucket_of(F.col("doc_id"), 4) != 2
+    model = toxicity.train(docs.filter(own), labels.filter(own))
+    return toxicity.score(docs, model).select("doc_id", (~own).alias("held_out"), "score", "predicted")
+
+
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, own = read(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 7) != 2
+    found = context_mixing.score(docs, docs.filter(own))
+    return found.select("doc_id", (~own).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
@@ -54,10 +79,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_packing": op3_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_toxicity": op5_toxicity,
+    "op6_context_mixing": op6_context_mixing,
     "op7_decontaminate": op7_decontaminate,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.SQL}
