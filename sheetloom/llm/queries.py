@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, language_id, packing, quality_rules, secret_scan, simhash_dedup, toxicity, url_filter
+from . import context_mixing, decontaminate, language_id, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity, url_filter
 from .common import bucket_of, read
 
 
@@ -62,6 +62,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("other_id", "other_doc_id")
+
+
 def _span_text(spans):
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_context_mixing": op6_context_mixing,
     "op7_decontaminate": op7_decontaminate,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
