@@ -74,7 +74,7 @@ def path_templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     rows = materialise(rows)
     deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
     for k in range(min(depth, deepest)):
-        rows = _children(rows, F.coalesce(F.try_element_at("segments", F.lit(k + 1)), F.lit("")))
+        rows = materialise(_children(rows, F.coalesce(F.try_element_at("segments", F.lit(k + 1)), F.lit(""))))
     rows = rows.withColumn("template", F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
     rows = materialise(rows.select("host", "path", "template", "n", "bad", "good"))
     sums = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
