@@ -18,6 +18,7 @@ def request_metrics(events: DataFrame, ts: str, value: str, kind: str) -> DataFr
 def windowed_metrics(events: DataFrame, ts: str, value: str, kind: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """The same as a stream: event-time windows with a watermark, sums and sketches only."""
     w = F.window(ts, window)
+    events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     return events.withWatermark(ts, late).groupBy(w.alias("w"), kind).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.percentile_approx(value, 0.99, 10000).alias("p99")).select("w.start", "w.end", kind, "n", "lo", "hi", "mean", "p99")
 
 
