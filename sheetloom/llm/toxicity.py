@@ -156,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) / 1_000_000
     wanted = F.when(F.col("__label") == 1, min(1.0, toxic_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, ordinary_rows / max(1, sizes.get(0, 0))))
     picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = picked.join(own.filter(draw < wanted), "__id").select(F.xxhash64("__id", "text").alias("place"), "__label", "text").limit(2 * (toxic_rows + ordinary_rows))
+    sample = own.filter(draw < wanted).limit(2 * (toxic_rows + ordinary_rows))
+    rows = picked.join(F.broadcast(sample), "__id").select(F.xxhash64("__id", "text").alias("place"), "__label", "text").limit(2 * (toxic_rows + ordinary_rows))
     rows = rows.toArrow().to_pandas().sort_values("place")
     return fit(rows.text[rows["__label"] == 1].tolist(), rows.text[rows["__label"] == 0].tolist(), sizes.get(1, 0) / max(1, sum(sizes.values())))
 
