@@ -20,15 +20,15 @@ def _keep(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component), component being the least node reachable over edges (a, b).
 
-    Every round takes the least label among neighbours, then jumps to that label's own label, so long
+    Every round takes the least of the neighbours' labels and the label of the own label, so long
     chains shorten geometrically; it ends when no label changes."""
     both = _keep(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
     labels = _keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select(F.col("u").alias("node"), "c"))
     for _ in range(rounds):
         around = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("c").alias("m"))
-        low = labels.join(around, labels["node"] == around["u"], "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        up = low.select(F.col("node").alias("c"), F.col("c").alias("up"))
-        step = _keep(low.join(up, "c", "left").select("node", "old", F.least("c", F.coalesce("up", "c")).alias("c")))
+        up = labels.select(F.col("node").alias("c"), F.col("c").alias("up"))
+        low = labels.join(around, labels["node"] == around["u"], "left").select("node", "c", "m")
+        step = _keep(low.join(up, "c", "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c"), F.coalesce("up", "c")).alias("c")))
         labels = step.select("node", "c")
         if step.filter("old <> c").isEmpty():
             return labels.select("node", F.col("c").alias("component"))

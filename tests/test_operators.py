@@ -1,5 +1,6 @@
 """Hand-computed cases of geometry, joins, graphs, selection, metrics and service operators."""
 
+import math
 import math
 import random
 
