@@ -54,3 +54,20 @@ def contains_any(text: Column, words: list[str]) -> Column:
 def confidence(value: Column, default: float = 0.0) -> Column:
     """Parsed and kept within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(value.try_cast("double"), F.lit(default))))
+
+
+def text_class(text: Column) -> Column:
+    """number, tolerance, view_label, material or note, by the first rule that fits."""
+    return (
+        F.when(text.rlike(r"^[+-]?[0-9]+([.][0-9]+)?$"), "number")
+        .when(F.contains(text, F.lit("+/-")) | F.contains(text, F.lit("±")), "tolerance")
+        .when(text.rlike(r"(?i)^(view|section)\b"), "view_label")
+        .when(text.rlike(r"(?i)steel|brass|copper|nickel|tin"), "material")
+        .otherwise("note")
+    )
+
+
+def dimension(text: Column) -> list[Column]:
+    """nominal, tolerance and round_shape of a dimension text."""
+    number = r"([0-9]+(?:[.][0-9]+)?)"
+    return [F.regexp_extract(text, number, 1).try_cast("double").alias("nominal"), F.regexp_extract(text, r"(?:±|[+]/-)\s*" + number, 1).try_cast("double").alias("tolerance"), text.rlike(r"[ØR]\s*[0-9]").alias("round_shape")]

@@ -84,3 +84,37 @@ def reverberation(rooms: DataFrame, height: float) -> DataFrame:
     low = F.col("alpha") < 0.2
     out = rooms.withColumn("formula", F.when(low, "sabine").otherwise("eyring")).withColumn("t60", F.least(F.lit(LONGEST), F.when(low, sabine).otherwise(eyring)))
     return out.withColumn("edt", EARLY * F.col("t60"))
+
+
+def attribute_filter(rows: DataFrame, layer: Column, words: list[str], color: Column, colors: list[int]) -> DataFrame:
+    """Rows whose layer holds one of words and whose colour is in colors; a row without a colour passes."""
+    any_word = F.lit(False)
+    for w in words:
+        any_word = any_word | F.contains(layer, F.lit(w))
+    return rows.filter(any_word & (color.isNull() | color.isin(colors)))
+
+
+def valid_line(x0: str, y0: str, x1: str, y1: str) -> Column:
+    """Finite ends and a length between 1e-6 and 1e6, neither included."""
+    n, ok = g.distance(*map(F.col, (x0, y0, x1, y1))), F.lit(True)
+    for c in (x0, y0, x1, y1):
+        ok = ok & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return ok & (n > 1e-6) & (n < 1e6)
+
+
+def line_in_view(view: list[float]) -> Column:
+    """True where an end of x0, y0, x1, y1 is inside the view or the segment strictly crosses one of its sides."""
+    a, b, c, e = view
+    inside = lambda x, y: F.col(x).between(a, c) & F.col(y).between(b, e)
+    out = inside("x0", "y0") | inside("x1", "y1")
+    ends = [F.col(k) for k in ("x0", "y0", "x1", "y1")]
+    for side in ((a, b, c, b), (c, b, c, e), (c, e, a, e), (a, e, a, b)):
+        out = out | g.intersection(*ends, *(F.lit(float(v)) for v in side), closed=False).isNotNull()
+    return out
+
+
+def pixel_scale(calibrated: Column, override_dpi: Column, file_dpi: Column) -> tuple[Column, Column]:
+    """Millimetres a pixel and its trust: user calibration, then a given resolution, then the file's."""
+    scale = F.coalesce(calibrated, 25.4 / override_dpi, 25.4 / file_dpi)
+    trust = F.when(calibrated.isNotNull() | override_dpi.isNotNull(), "high").when(file_dpi.isNotNull(), "medium").otherwise("unknown")
+    return scale, trust

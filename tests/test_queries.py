@@ -6,10 +6,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sheetloom.plans import data_queries, drawing_queries, geometry_queries
+from sheetloom.plans import data_queries, drawing_queries, geometry_queries, record_queries
 
-PLANS = geometry_queries.QUERIES | data_queries.QUERIES | drawing_queries.QUERIES
-SQL = geometry_queries.ORACLES | data_queries.ORACLES | drawing_queries.ORACLES
+PLANS = geometry_queries.QUERIES | data_queries.QUERIES | drawing_queries.QUERIES | record_queries.QUERIES
+SQL = geometry_queries.ORACLES | data_queries.ORACLES | drawing_queries.ORACLES | record_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
