@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +17,17 @@ from .common import ddl_type, map_rows, materialise
 
 #: Bytes of context of each predictor, and the bits of its table of hashed (context, bit node) slots.
 ORDERS = (1, 2, 3, 4, 5)
-TABLE_BITS = (16, 18, 20, 21, 22)
+TABLE_BITS = (18, 18, 20, 21, 21)
 OFFSETS = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in TABLE_BITS)]))
 SLOTS = OFFSETS[-1]
+#: Slots whose counts travel in one row.
+PAGE = 1 << 12
 LONGEST = max(ORDERS)
-GATES = (len(ORDERS) + 1) * 8
+#: Fixed values of the byte code: 16 bytes of 5 bits, 32 of 7 bits, all others of 10 bits.
+SHORT = b" etaoinsrhldcumg"
+MIDDLE = b"pbfyvwkxjqz.,-'0123456789\n\xc3\xa9\xa8\xa4\xbc\xb6"
+LONGEST_CODE = 10
+GATES = (len(ORDERS) + 1) * LONGEST_CODE
 PRIOR = 0.05
 #: A context counts as seen, for the gate, from this many bits.
 SEEN = 2
@@ -67,8 +74,8 @@ def slot_indices(packed: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
     step = node.astype(np.uint64) * _STEP
     for order, bits, at in zip(ORDERS, TABLE_BITS, OFFSETS, strict=False):
         context = (packed >> 8) & ((1 << (8 * order)) - 1)
-        if bits == 8 * (order + 1):
-            out.append((context << 8 | node) + at)
+        if order == 1:
+            out.append((context << LONGEST_CODE | node) + at)
         else:
             h = (context.view(np.uint64) + step) * _MIX
             h ^= h >> np.uint64(29)
@@ -76,12 +83,32 @@ def slot_indices(packed: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _code() -> tuple[np.ndarray, np.ndarray]:
+    """A prefix code over bytes, as bits and lengths: common bytes take fewer binary predictions."""
+    bits, size = np.arange(256) | 3 << 8, np.full(256, LONGEST_CODE)
+    for lead, prefix, width in ((MIDDLE, 2, 5), (SHORT, 0, 4)):
+        for i, c in enumerate(lead):
+            bits[c], size[c] = prefix << width | i, width + (2 if prefix else 1)
+    return bits, size
+
+
+CODE, CODE_SIZE = _code()
+
+
 def _bits(packed: np.ndarray):
-    """(place, bit, slots) for each of the eight bits of the packed bytes."""
-    node = np.ones(len(packed), np.int64)
-    for j in range(8):
-        bit = (packed >> (7 - j)) & 1
-        yield j, bit, slot_indices(packed, node)
+    """(place, own, bit, slots) for each bit of the packed bytes' codes; own selects those whose code goes on."""
+    byte = packed & 255
+    code, size = CODE[byte], CODE_SIZE[byte]
+    node, own = np.ones(len(packed), np.int64), np.arange(len(packed))
+    for j in range(LONGEST_CODE):
+        if j >= 5:
+            going = size > j
+            if not going.all():
+                packed, code, size, node, own = packed[going], code[going], size[going], node[going], own[going]
+        if not len(own):
+            return
+        bit = (code >> (size - 1 - j)) & 1
+        yield j, own, bit, slot_indices(packed, node)
         node = node << 1 | bit
 
 
@@ -95,7 +122,7 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 def _start_weights() -> np.ndarray:
     """Weights by gate (orders seen, bit place): nearly all on the longest order seen."""
-    w = np.zeros((len(ORDERS) + 1, 8, len(ORDERS)))
+    w = np.zeros((len(ORDERS) + 1, LONGEST_CODE, len(ORDERS)))
     for g in range(len(ORDERS) + 1):
         for k in range(g):
             w[g, :, k] = 0.45 if k == g - 1 else 0.25 if k == g - 2 else 0.08
@@ -128,15 +155,16 @@ class Trainer:
         self.started = True
 
     def _predict(self, packed, count) -> None:
-        for j, bit, slots in _bits(packed):
+        last = (packed >> 8) & 255
+        for j, own, bit, slots in _bits(packed):
             pairs = [self.n.reshape(-1, 2)[s] for s in slots]
             seen = sum((x.sum(axis=1) >= SEEN).astype(np.int64) for x in pairs)
-            self._mix([_stretch(x[:, 0], x[:, 1]) for x in pairs], seen * 8 + j, bit, count, (packed >> 8) & 255)
+            self._mix([_stretch(x[:, 0], x[:, 1]) for x in pairs], seen * LONGEST_CODE + j, bit, count[own], last[own])
 
     def _count(self, packed, count) -> None:
-        for _, bit, slots in _bits(packed):
+        for _, own, bit, slots in _bits(packed):
             for s in slots:
-                np.add.at(self.n, 2 * s + bit, count)
+                np.add.at(self.n, 2 * s + bit, count[own])
 
     def _mix(self, st, gate, bit, count, last) -> None:
         """One online step: of each gate's weights along the errors, and of the refinement's counts."""
@@ -168,14 +196,14 @@ class Model:
 
     def _block(self, packed) -> np.ndarray:
         last, out = (packed >> 8) & 255, np.zeros(len(packed))
-        for j, bit, slots in _bits(packed):
+        for j, own, bit, slots in _bits(packed):
             raw = [self.table[s] for s in slots]
-            gate = sum((r & 1).astype(np.int64) for r in raw) * 8 + j
-            x = np.zeros(len(packed), np.float32)
+            gate = sum((r & 1).astype(np.int64) for r in raw) * LONGEST_CODE + j
+            x = np.zeros(len(own), np.float32)
             for k, r in enumerate(raw):
                 x += self.weights[gate, k] * ((r >> 1) * np.float32(1 / 512))
-            p = 0.5 * (_squash(x) + self.refine[_bucket(last, x)])
-            out += np.log2(np.where(bit == 1, p, 1 - p))
+            p = 0.5 * (_squash(x) + self.refine[_bucket(last[own], x)])
+            out[own] += np.log2(np.where(bit == 1, p, 1 - p))
         return out
 
 
@@ -218,36 +246,51 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         texts = (words_of(x) for b in batches for x in b.column(0).to_pylist())
         for group in _groups(texts, FIRST_GROUP):
             trainer.learn(*group)
-        n = trainer.n.reshape(-1, 2)
-        used = np.flatnonzero(n.any(axis=1))
-        yield from out(used, n[used, 0], n[used, 1])
-        used = np.flatnonzero(trainer.apm.any(axis=0))
-        yield from out(SLOTS + used, trainer.apm[0][used], trainer.apm[1][used])
-        for k in range(len(ORDERS)):
-            yield from out(SLOTS + 256 * BUCKETS + k * GATES + np.arange(GATES), trainer.w[:, k] * trainer.moved, trainer.moved)
-
-    def out(slot, a, b):
-        for at in range(0, len(slot), 1 << 17):
-            cut = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(slot[cut].astype(np.int32)), pa.array(a[cut].astype(np.float64)), pa.array(b[cut].astype(np.float64))], names=["slot", "a", "b"])
-
-    rows = map_rows(docs.select(F.col(text_col).alias("text")), work, "slot int, a double, b double").groupBy("slot").agg(F.sum("a").cast("float").alias("a"), F.sum("b").cast("float").alias("b")).toArrow()
-    slot, a, b = (rows.column(k).to_numpy() for k in range(3))
-    n = np.zeros((2, SLOTS), np.float32)
-    own = slot < SLOTS
-    n[0][slot[own]], n[1][slot[own]] = a[own], b[own]
+        yield from pages(np.r_[trainer.n, trainer.apm.T.reshape(-1)])
+        yield row(-1, np.r_[trainer.moved, (trainer.w * trainer.moved[:, None]).T.reshape(-1)])
+
+    def row(page, values):
+        return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([zstandard.compress(values.astype(np.float64 if page < 0 else np.uint32).tobytes(), 1)], pa.binary())], names=["page", "counts"])
+
+    def pages(values):
+        for k in range(0, len(values), 2 * PAGE):
+            own = values[k : k + 2 * PAGE]
+            if own.any():
+                yield row(k // (2 * PAGE), own)
+
+    def add(batches):
+        page, total = None, None
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zstandard.decompress(blob), np.float64 if k < 0 else np.uint32)
+                if k != page:
+                    if page is not None:
+                        yield done(page, total)
+                    page, total = k, np.zeros(len(own))
+                total += own
+        if page is not None:
+            yield done(page, total)
+
+    def done(page, total):
+        return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([zstandard.compress(total.astype(np.float64 if page < 0 else np.float32).tobytes(), 1)], pa.binary())], names=["page", "counts"])
+
+    schema = "page int, counts binary"
+    sums = map_rows(docs.select(F.col(text_col).alias("text")), work, schema).repartition("page").sortWithinPartitions("page").mapInArrow(add, schema).toArrow()
+    flat, moved, mixed = np.zeros(2 * (SLOTS + 256 * BUCKETS), np.float32), np.zeros(GATES), _start_weights().T.reshape(-1)
+    for page, blob in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
+        own = np.frombuffer(zstandard.decompress(blob), np.float64 if page < 0 else np.float32)
+        if page < 0:
+            moved, mixed = own[:GATES], own[GATES:]
+        else:
+            flat[2 * PAGE * page : 2 * PAGE * page + len(own)] = own
+    n = flat[: 2 * SLOTS].reshape(-1, 2).T
     table = (np.clip(_stretch(n[0], n[1]), -31, 31) * 512).astype(np.int16) << 1 | (n.sum(axis=0) >= SEEN)
-    counts = np.zeros((2, 256 * BUCKETS))
-    own = (slot >= SLOTS) & (slot < SLOTS + 256 * BUCKETS)
-    counts[0][slot[own] - SLOTS], counts[1][slot[own] - SLOTS] = a[own], b[own]
+    counts = flat[2 * SLOTS :].reshape(-1, 2).T
     middle = _squash((np.arange(BUCKETS) + 0.5) * (2 * REACH / BUCKETS) - REACH)
     prior = np.tile(middle, 256)
     refine = (counts[1] + 20 * prior) / (counts.sum(axis=0) + 20)
-    weights, moved = np.zeros(GATES * len(ORDERS)), np.zeros(GATES * len(ORDERS))
-    own = slot >= SLOTS + 256 * BUCKETS
-    weights[slot[own] - SLOTS - 256 * BUCKETS], moved[slot[own] - SLOTS - 256 * BUCKETS] = a[own], b[own]
-    start = _start_weights().T.reshape(-1)
-    weights = np.where(moved > 0, weights / np.maximum(moved, 1e-9), start).reshape(len(ORDERS), GATES).T
+    start = _start_weights()
+    weights = np.where(moved[:, None] > 0, mixed.reshape(len(ORDERS), GATES).T / np.maximum(moved, 1e-9)[:, None], start)
     return Model(table.astype(np.int16), weights.astype(np.float32), np.clip(refine, 1e-6, 1 - 1e-6))
 
 
