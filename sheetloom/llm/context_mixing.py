@@ -295,10 +295,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 class Scorer:
-    """Scores documents with a finished model; remembers the commonest contexts it has met."""
+    """Scores documents with a finished model; remembers contexts met at the first, second, fourth, eighth call and so on."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known, self.values = model, None, None
+        self.model, self.known, self.values, self.turn = model, None, None, 0
 
     def __call__(self, docs: list[list[bytes]]) -> np.ndarray:
         """log10 of the probability of each document."""
@@ -309,8 +309,9 @@ class Scorer:
         old = at >= 0
         value[old] = self.values[at[old]] if old.any() else 0.0
         value[~old] = self.model.log2_probs(names[~old])
+        self.turn += 1
         room = REMEMBERED - (0 if self.known is None else len(self.known))
-        if room > 0:
+        if room > 0 and self.turn & (self.turn - 1) == 0:
             more, worth = names[~old][:room], value[~old][:room]
             self.known, self.values = (pd.Index(more), worth) if self.known is None else (self.known.append(pd.Index(more)), np.r_[self.values, worth])
         return np.add.reduceat(value[codes], np.cumsum(size) - size) * np.log10(2.0)
