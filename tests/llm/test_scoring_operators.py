@@ -205,3 +205,28 @@ def test_chains_prefer_one_diagonal():
     line = [(10 * k, 10 * k + 5) for k in range(6)]
     found = substring_dedup.chains(line + [(15, 400), (20, 3)])
     assert found[0] == line
+
+
+@pytest.mark.parametrize("first", (60, 300))
+@pytest.mark.parametrize("apart", (70, 200, 400, 600, 3000))
+def test_chains_keep_a_later_passage(first, apart):
+    """Two passages of one pair both chain, whatever lies between; the later one is found by the near predecessor."""
+    second = first + apart
+    matches = [(i, 5 + i) for i in range(0, first, 6)] + [(second + i, 9 + second + i) for i in range(0, 60, 6)]
+    long = [c for c in substring_dedup.chains(matches) if len(c) > 1]
+    assert sorted((c[0][0], c[-1][0]) for c in long) == [(0, (first - 1) // 6 * 6), (second, second + 54)]
+
+
+def test_chains_score_as_brute_force():
+    """The best chain reaches the score of the quadratic recurrence that asks every predecessor within the gap."""
+    k, cost, reach = substring_dedup.K, substring_dedup.GAP_COST, substring_dedup.WIDEST_GAP + substring_dedup.K
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        matches = sorted({(int(b), int(a)) for b, a in rng.integers(0, rng.integers(20, 900), (60, 2))})
+        score = []
+        for i, (b, a) in enumerate(matches):
+            near = [score[j] - cost * (b - y + a - x) for j, (y, x) in enumerate(matches[:i]) if 0 < b - y <= reach and 0 < a - x <= reach]
+            score.append(k + max([0.0, *near]))
+        best = substring_dedup.chains(matches)[0]
+        got = k * len(best) - cost * (best[-1][0] - best[0][0] + best[-1][1] - best[0][1])
+        assert got == pytest.approx(max(score))
