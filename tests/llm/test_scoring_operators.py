@@ -230,3 +230,30 @@ def test_chains_score_as_brute_force():
         best = substring_dedup.chains(matches)[0]
         got = k * len(best) - cost * (best[-1][0] - best[0][0] + best[-1][1] - best[0][1])
         assert got == pytest.approx(max(score))
+
+
+@pytest.mark.parametrize("hot", (64, 0))
+def test_passages_cover_every_repeated_run(spark, monkeypatch, hot):
+    """Each run of 40 words that two different texts have is in a reported passage of both, though its parts are common."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", hot)
+    rng = np.random.default_rng(21)
+    word = lambda: f"w{rng.integers(1 << 30):x}"
+    some = lambda n: [word() for _ in range(n)]
+    sentences = [some(int(rng.integers(18, 30))) for _ in range(14)]
+    texts = []
+    for _ in range(160):
+        x, y = rng.choice(14, 2, replace=False)
+        texts.append(some(20) + sentences[x] + sentences[y] + some(20))
+    texts += [some(20) + s + some(20) for s in sentences for _ in range(8)]
+    texts += [t[:25] + t[25:60] + some(100) + t[5:50] for t in texts[:10]]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    where = defaultdict(set)
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 39):
+            where[tuple(t[s : s + 40])].add((i, s))
+    want = {x for own in where.values() if len({i for i, _ in own}) > 1 for x in own}
+    covered = set()
+    for r in substring_dedup.repeated_passages(d).collect():
+        covered |= {(r.doc_id, s) for s in range(r.start, r.end - 39)} | {(r.other_id, s) for s in range(r.other_start, r.other_end - 39)}
+        assert r.equal_words >= substring_dedup.LEAST_EQUAL * max(r.end - r.start, r.other_end - r.other_start)
+    assert len(want) > 1000 and not want - covered
