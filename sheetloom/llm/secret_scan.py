@@ -24,9 +24,11 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Character classes and the bits per character that a window of that class must reach.
-CLASSES = (("digit", frozenset("0123456789"), 9.0), ("hex", frozenset("0123456789abcdefABCDEF"), 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.7))
-#: Strings that are no secrets: one case of letters only, paths and slugs of plain words, uuids, repeated samples.
-ALLOWED = re.compile(r"[A-Za-z]+|[A-Z]?[a-z]+(?:[-_/][A-Za-z]?[a-z]+)+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|.*(?:EXAMPLE|example|xxxx|XXXX|1234567890|abcdefghij).*|[-_=+/0-9]+")
+CLASSES = (("digit", frozenset("0123456789"), 3.0), ("hex", frozenset("0123456789abcdefABCDEF"), 3.0), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.7))
+#: Runs that are no secrets: letters of one case only, paths and slugs of plain words, uuids, digits between separators.
+ALLOWED = re.compile(r"[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[-_/][A-Za-z]?[a-z]+)+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|[0-9]*(?:[-_=+/]+[0-9]*)+")
+#: Samples: a window that holds one is no secret; other windows of its run may be.
+SAMPLE = re.compile(r"(?=(EXAMPLE|example|xxxx|XXXX|1234567890|abcdefghij))")
 _PLOGP = [0.0, *(n * log2(n) for n in range(1, WINDOW + 1))]
 
 
@@ -35,6 +37,7 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
 
     Counts and the sum of n log n are updated by one character in and one out at each step."""
     found: list[tuple[int, int]] = []
+    samples = [m.span(1) for m in SAMPLE.finditer(run)]
     for _, members, limit in CLASSES:
         counts, total, start = {}, 0.0, 0
         for i, c in enumerate(run):
@@ -50,7 +53,7 @@ def entropy_spans(run: str) -> list[tuple[int, int]]:
                 total += _PLOGP[n - 1] - _PLOGP[n]
                 counts[out] = n - 1
                 start += 1
-            if i - start == WINDOW - 1 and log2(WINDOW) - total / WINDOW >= limit:
+            if i - start == WINDOW - 1 and log2(WINDOW) - total / WINDOW >= limit and not any(start <= s and e <= i + 1 for s, e in samples):
                 found.append((start, i + 1))
     merged: list[tuple[int, int]] = []
     for s, e in sorted(found):
@@ -74,16 +77,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def find_spans(text: str | None) -> list[tuple[int, int, str]]:
-    """All spans of a text by start, then kind. Entropy spans that touch a base span are dropped as found already."""
+    """All spans of a text by start, then kind. Entropy spans keep what base spans do not cover."""
     if not text:
         return []
     spans = base_spans(text)
+    base = sorted(spans)
     for m in CANDIDATE.finditer(text):
         if ALLOWED.fullmatch(m[0]):
             continue
         for s, e in entropy_spans(m[0]):
             s, e = s + m.start(), e + m.start()
-            if not any(s < b and a < e for a, b, kind in spans if kind != "entropy"):
+            for a, b, _ in base:
+                if s < b and a < e:
+                    if s < a:
+                        spans.append((s, a, "entropy"))
+                    s = b
+            if s < e:
                 spans.append((s, e, "entropy"))
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2])))
 

@@ -227,6 +227,16 @@ def test_entropy_windows():
     assert [k for _, _, k in secret_scan.find_spans("ſecret = abcdef token=abcdef api_KEY: 'zzzzzz")] == ["assign", "assign"]
 
 
+def test_entropy_allows_no_more_than_it_says():
+    key = "kJ8f2Qz9LmN4pR7tVx3WbY6c"
+    assert secret_scan.redact("qWzRtYpLkJhGfDsAzXcVbNm") == "[SECRET]"
+    assert key not in secret_scan.redact(f"path/example/{key}") and secret_scan.find_spans("see AKXAIOSFODNN7EXAMPLE") == []
+    assert secret_scan.find_spans("n 73910482657301948256 m") == [(2, 22, "entropy")]
+    long = f"{key}0123456789abcdef01234567{key[::-1]}"
+    left = secret_scan.redact(f"a {long} b")
+    assert key[2:] not in left and key[::-1][:-2] not in left and left.replace("[SECRET]", "") == "a  b"
+
+
 def test_secret_odd_rows(spark, odd):
     assert secret_scan.secret_spans(odd).count() == 8
     out = secret_scan.redact_secrets(odd)
