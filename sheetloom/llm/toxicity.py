@@ -1,82 +1,77 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text."""
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
+
+Texts are compressed as words, not letters: each word is written as the eight bytes of its hash, so a
+dictionary shortens a window by the whole words it knows and never by parts of them, in any language."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ddl_type, map_rows
 
-#: The sample that the classifier is fitted on: labelled rows of each class, about, and the longest text it takes.
+#: The sample that the classifier is fitted on: labelled rows of each class at most, and the longest text it takes.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2500, 5000, 32_768
-#: Share of the sample that the dictionaries come from; the thresholds are calibrated on the rest.
-DICTIONARY_SHARE = 0.6
-WINDOW_WORDS = 8
+#: The curve is calibrated on the windows of each part of the sample under dictionaries of the other parts.
+FOLDS = 3
+WINDOW_WORDS = 16
+CODE = 8
 LEVEL = 12
-#: Bytes of ordinary text at the end of both dictionaries.
-ORDINARY_BYTES = 16_384
-TOXIC_BYTES = 8192
-GRAM = 5
-#: A gram tells toxic text if its log odds over ordinary text reach this and this share of toxic texts has it.
-LOG_ODDS, LEAST_SHARE, LEAST_TEXTS = 3.0, 0.004, 4
+#: Bytes of the ordinary dictionary, and windows of each ordinary text that it is trained on.
+ORDINARY_BYTES, TEXT_WINDOWS = 32_768, 12
+#: The toxic dictionary is trained on the words of toxic texts whose log odds over ordinary ones reach this and that this many texts have.
+LOG_ODDS, LEAST_TEXTS = 3.0, 3
+#: Codes that the trainer sees at least, and bytes of the smallest dictionary it makes.
+TRAINED_CODES, LEAST_BYTES = 3000, 512
 PREDICT_AT = 0.3
 GAINS = (2, 3, 4, 5, 6, 8)
+#: Bytes that stay in words: digits, letters in lower case, and all bytes of characters beyond ASCII.
+_TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """All 5-byte grams, packed."""
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    n = max(0, len(b) - GRAM + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        out = (out << np.uint64(8)) | b[k : k + n]
-    return out
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _plain(text: str | None) -> bytes:
-    return b" " + b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b" "
-
-
-def _texts_with(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.unique(_grams(r)) for r in raws]
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _telling_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Stretches of words of toxic texts whose grams toxic texts have far more often than ordinary ones; commonest last."""
-    grams, n = _texts_with(toxic)
-    other, m = _texts_with(ordinary)
-    at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
-    there = np.where(other[at] == grams, m[at], 0) if len(other) else np.zeros(len(grams))
-    odds = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((there + 0.5) / (len(ordinary) + 1))
-    good = grams[(odds > LOG_ODDS) & (n >= max(LEAST_TEXTS, LEAST_SHARE * len(toxic)))]
-    found: dict[bytes, int] = {}
-    for raw in toxic:
-        own = _grams(raw)
-        at = np.minimum(np.searchsorted(good, own), max(0, len(good) - 1))
-        hits = np.flatnonzero(good[at] == own) if len(good) else []
-        seen, s, e = set(), -1, -1
-        for h in [*hits, len(raw) + GRAM]:
-            if s < 0 or h > e - 2:
-                if s >= 0:
-                    seen.add(raw[s:e])
-                s = h
-            e = h + GRAM
-        for x in seen:
-            found[x] = found.get(x, 0) + 1
-    kept = sorted((x for x in found.items() if x[1] >= LEAST_TEXTS - 1), key=lambda x: (x[1], x[0]))
-    out, size = [], 0
-    for x, _ in reversed(kept):
-        if size + len(x) > TOXIC_BYTES:
-            break
-        out.append(x)
-        size += len(x)
-    return out[::-1]
+def coded(words: list[bytes]) -> bytes:
+    return b"".join(map(xxhash.xxh64_digest, words))
+
+
+def windows(words: list[bytes]) -> list[bytes]:
+    """The codes of each WINDOW_WORDS words."""
+    whole, step = coded(words), CODE * WINDOW_WORDS
+    return [whole[k : k + step] for k in range(0, len(whole), step)]
+
+
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    """A trained dictionary; where there is too little text to train on, the text itself."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
+
+
+def telling_words(toxic: Counter, n_toxic: int, ordinary: Counter, n_ordinary: int) -> set[bytes]:
+    """Words of toxic texts, given how many texts of each kind have each word, that ordinary texts hardly have."""
+    odds = lambda w, n: np.log((n + 0.5) / (n_toxic + 1)) - np.log((ordinary[w] + 0.5) / (n_ordinary + 1))
+    return {w for w, n in toxic.items() if n >= LEAST_TEXTS and odds(w, n) > LOG_ODDS}
+
+
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of two lists of texts' words."""
+    count = lambda texts: Counter(w for t in texts for w in set(t))
+    telling = telling_words(count(toxic), len(toxic), count(ordinary), len(ordinary))
+    found = [xxhash.xxh64_digest(w) for t in toxic for w in t if w in telling]
+    spread = lambda own: [own[i * len(own) // TEXT_WINDOWS] for i in range(TEXT_WINDOWS)] if len(own) > TEXT_WINDOWS else own
+    own = _trained(max(LEAST_BYTES, 2 * CODE * len(telling)), found * (1 + TRAINED_CODES // len(found))) if found else b""
+    return own, _trained(ORDINARY_BYTES, [w for t in ordinary for w in spread(windows(t))])
 
 
 @dataclass
@@ -90,25 +85,25 @@ class Model:
     scale: np.ndarray
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        out = []
-        for content in (self.ordinary, self.toxic):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        return out
+        return _compressors(self.toxic, self.ordinary)
 
 
-def window_gains(text: str | None, compressors) -> np.ndarray:
-    """Bytes that the toxic dictionary saves over the ordinary one in each window of the whole text."""
-    plain, tox = (c.compress for c in compressors)
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.zeros(max(1, -(-len(words) // WINDOW_WORDS)), np.int64)
-    for k in range(0, len(words), WINDOW_WORDS):
-        w = b" " + b" ".join(words[k : k + WINDOW_WORDS]) + b" "
-        out[k // WINDOW_WORDS] = len(plain(w)) - len(tox(w))
+def _compressors(toxic: bytes, ordinary: bytes) -> list[zstandard.ZstdCompressor]:
+    """An ordinary compressor, and one that knows the toxic dictionary as well; so lengths differ by toxic words alone."""
+    out = []
+    for content in (ordinary or bytes(CODE), toxic + (ordinary or bytes(CODE))):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
+def window_gains(words: list[bytes], compressors) -> np.ndarray:
+    """Bytes that the toxic dictionary saves over the ordinary one in each window of a whole text; no words are one empty window."""
+    plain, tox = (c.compress for c in compressors)
+    return np.array([len(plain(w)) - len(tox(w)) for w in windows(words) or [b""]], np.int64)
+
+
 def features(gains: np.ndarray) -> np.ndarray:
     n = len(gains)
     return np.array([1.0, min(gains.max(), 16), np.log(n), gains.clip(0).mean(), gains.mean(), *(np.log1p((gains >= g).sum()) for g in GAINS), *((gains >= g).mean() for g in GAINS)])
@@ -131,49 +126,59 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
     """Fit on sampled texts; toxic_share is the share of toxic rows among all labelled ones."""
-    cut = lambda rows: (rows[: round(len(rows) * DICTIONARY_SHARE)], rows[round(len(rows) * DICTIONARY_SHARE) :])
-    (t0, t1), (o0, o1) = cut(toxic), cut(ordinary)
-    shared = b"".join(_plain(x)[:256] for x in o0)[-ORDINARY_BYTES:] or b" "
-    model = Model(b"".join(_telling_passages([_plain(x) for x in t0], [_plain(x) for x in o0])) + shared, shared, np.zeros(0), np.zeros(0), np.ones(0))
-    pair = model.compressors()
-    x = np.array([features(window_gains(t, pair)) for t in [*t1, *o1]]).reshape(-1, 5 + 2 * len(GAINS))
-    y = np.r_[np.ones(len(t1)), np.zeros(len(o1))]
-    model.centre, model.scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    model.centre[0], model.scale[0] = 0.0, 1.0
-    weight = np.where(y > 0, toxic_share / max(1, len(t1)), (1 - toxic_share) / max(1, len(o1))) * max(1, len(y))
-    model.weights = _logistic((x - model.centre) / model.scale, y, weight) if len(set(y)) == 2 else np.r_[-4.0, np.zeros(x.shape[1] - 1)]
+    bad, good = [words_of(x) for x in toxic], [words_of(x) for x in ordinary]
+    x, y = [], []
+    for f in range(FOLDS):
+        rest = lambda texts: [t for i, t in enumerate(texts) if i % FOLDS != f]  # noqa: B023, E731
+        pair = _compressors(*dictionaries(rest(bad), rest(good)))
+        for texts, label in ((bad[f::FOLDS], 1.0), (good[f::FOLDS], 0.0)):
+            x += [features(window_gains(t, pair)) for t in texts]
+            y += [label] * len(texts)
+    x, y = np.array(x).reshape(-1, 5 + 2 * len(GAINS)), np.array(y)
+    model = Model(*dictionaries(bad, good), np.r_[-4.0, np.zeros(x.shape[1] - 1)], np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    if len(set(y)) == 2:
+        model.centre, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        model.centre[0], model.scale[0] = 0.0, 1.0
+        weight = np.where(y > 0, toxic_share / len(bad), (1 - toxic_share) / len(good)) * len(y)
+        model.weights = _logistic((x - model.centre) / model.scale, y, weight)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
     """Fit dictionaries and thresholds on a bounded sample of labelled rows.
 
-    Labels that disagree about an id count as toxic; null ids, texts and labels are left out. The sample
-    is picked by a hash of the id and holds texts of up to SAMPLE_CHARS, whole, so the rows that reach
-    the driver are bounded in number and size."""
-    own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
-    sizes = {r["__label"]: r["n"] for r in own.groupBy("__label").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) / 1_000_000
-    wanted = F.when(F.col("__label") == 1, min(1.0, toxic_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, ordinary_rows / max(1, sizes.get(0, 0))))
-    picked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    sample = own.filter(draw < wanted).limit(2 * (toxic_rows + ordinary_rows))
-    rows = picked.join(F.broadcast(sample), "__id").select(F.xxhash64("__id", "text").alias("place"), "__label", "text").limit(2 * (toxic_rows + ordinary_rows))
-    rows = rows.toArrow().to_pandas().sort_values("place")
-    return fit(rows.text[rows["__label"] == 1].tolist(), rows.text[rows["__label"] == 0].tolist(), sizes.get(1, 0) / max(1, sum(sizes.values())))
+    The sample is toxic_rows and ordinary_rows at most of whole texts of up to SAMPLE_CHARS characters, those
+    whose hash of id and text is least, so the rows that reach the driver are bounded in number and size and
+    a second run picks the same. Labels that disagree about an id count as toxic; null ids, texts and labels
+    are left out; rows that repeat an id all count. Without both classes every score is low."""
+    own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    sizes = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
+
+    def sample(label: int, most: int) -> list[str]:
+        # a hash of the id thins the labels first, so that few texts meet the join
+        few = own.filter((F.col("label") == label) & (draw < min(1.0, 1.5 * most / max(1, sizes.get(label, 0)))))
+        rows = picked.join(few, "id").select(F.xxhash64("id", "text").alias("place"), "text").orderBy("place", "text").limit(most)
+        return rows.toArrow().column("text").to_pylist()
+
+    toxic, ordinary = sample(1, toxic_rows), sample(0, ordinary_rows)
+    return fit(toxic, ordinary, sizes.get(1, 0) / max(1, sum(sizes.values())))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, predicted, windows, best_gain) for each row, from its whole text.
+    """(id_col, score, predicted, windows, best_gain) for each row, from its whole text, however long.
 
     score is the calibrated chance of being toxic, predicted 1 from PREDICT_AT. Null and empty texts are
-    one empty window; null ids and repeated rows come back as they are. Nothing is shuffled."""
+    one empty window; null ids and repeated rows come back as they are, so ties stay ties; other columns are
+    not read; an empty table gives an empty result. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         m = shared.value
         pair = m.compressors()
         for b in batches:
-            gains = [window_gains(x, pair) for x in b.column(1).to_pylist()]
+            gains = [window_gains(words_of(x), pair) for x in b.column(1).to_pylist()]
             x = (np.array([features(g) for g in gains]).reshape(-1, len(m.weights)) - m.centre) / m.scale
             p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= PREDICT_AT).astype(np.int32)), pa.array([len(g) for g in gains], pa.int64()), pa.array([int(g.max()) for g in gains], pa.int64())], names=[id_col, "score", "predicted", "windows", "best_gain"])

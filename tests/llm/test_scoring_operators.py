@@ -102,12 +102,41 @@ def test_quality_odd_rows(spark, odd):
 
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
-    got = queries.op5_toxicity(spark, sf).filter("held_out").join(read(spark, sf, "labels"), "doc_id").select("score", "predicted", "toxic").toPandas()
+    lang = read(spark, sf, "documents").select("doc_id", "lang")
+    got = queries.op5_toxicity(spark, sf).filter("held_out").join(read(spark, sf, "labels"), "doc_id").join(lang, "doc_id").select("score", "predicted", "toxic", "lang").toPandas()
     rank = got.score.rank()
     bad = got.toxic == 1
     auc = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
     assert auc > 0.97
     assert (got.predicted[bad] == 1).mean() > 0.85 and (got.predicted[~bad] == 1).mean() < 0.04
+    for x in ("de", "en", "es", "fr"):
+        own = got[got.lang == x]
+        assert (own.predicted[own.toxic == 1] == 1).mean() >= 0.85 and (own.predicted[own.toxic == 0] == 1).mean() < 0.04
+
+
+def test_toxicity_equals_its_definition(spark, sf):
+    """Score from windows, lengths and the curve, step by step; and the words that the toxic dictionary is made of."""
+    import xxhash
+    import zstandard
+
+    d, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = toxicity.train(d, labels)
+    lengths = lambda raw: [len(zstandard.ZstdCompressor(level=12, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)) for c in (model.ordinary, model.toxic + model.ordinary)]
+    rows = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    for r in d.orderBy("doc_id").limit(15).collect():
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (r.text or "").encode()))
+        gains = []
+        for k in range(0, len(words), 16) or [0]:
+            plain, tox = lengths(b"".join(xxhash.xxh64(w).digest() for w in words[k : k + 16]))
+            gains.append(plain - tox)
+        assert (rows[r.doc_id].windows, rows[r.doc_id].best_gain) == (len(gains), max(gains))
+        x = (toxicity.features(np.array(gains)) - model.centre) / model.scale
+        assert rows[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-np.clip(x @ model.weights, -30, 30))))
+        assert rows[r.doc_id].predicted == (rows[r.doc_id].score >= 0.3)
+    toxic = [[b"vile", b"word", b"%d" % i] for i in range(40)]
+    ordinary = [[b"good", b"word", b"%d" % i] for i in range(40)]
+    own, other = toxicity.dictionaries(toxic, ordinary)
+    assert xxhash.xxh64_digest(b"vile") in own and xxhash.xxh64_digest(b"word") not in own and xxhash.xxh64_digest(b"word") in other
 
 
 def test_toxicity_odd_rows(spark, odd):
