@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,9 +14,9 @@ SLICE_BYTES = 8 << 20
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Set the checkpoint folder from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Set the checkpoint folder from spark.checkpoint.dir; where that is unset, a folder in the warehouse, which is shared too."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.sparkContext.setCheckpointDir(folder)
 
 
@@ -27,13 +26,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_col: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into pieces of bounded rows and, but for single rows, bounded bytes."""
+def slices(batches: Iterator[pa.RecordBatch], text_col: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into pieces of bounded rows and, but for single rows, of most bytes of text."""
     for batch in batches:
         at = 0
         while at < batch.num_rows:
             n = min(SLICE_ROWS, batch.num_rows - at)
-            while n > 1 and batch.column(text_col).slice(at, n).nbytes > SLICE_BYTES:
+            while n > 1 and batch.column(text_col).slice(at, n).nbytes > most:
                 n = max(1, n // 2)
             yield batch.slice(at, n)
             at += n
@@ -55,3 +54,21 @@ def bucket_of(doc_id, k: int):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: A key of a join's table is hot if it meets more rows than HOT_ROWS and than one in HOT_SHARE of all; so there are under HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 256, 4096
+
+
+def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with table, which has each combination of keys once and in weight the number of rows it meets.
+
+    The few hot keys, under HOT_SHARE of them, go to every task, where their rows stay; all others are
+    joined by key. Both sides must be materialised, as they are read more than once. weight is dropped."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    often = max(HOT_ROWS, total // HOT_SHARE)
+    hot = table.filter(F.col(weight) > often).drop(weight)
+    cold = table.filter(F.col(weight) <= often).drop(weight)
+    first = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return first.unionByName(rest)

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, split_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Path segments that get a level of the tree of their own; what lies deeper is one last wildcard.
-DEPTH = 8
 #: A segment is variable if it holds a digit run, or if its parent has this many children and it has less than SHARE of their urls.
 FAN = 12
 SHARE = 0.05
 #: Siblings whose labelled block rates differ by less than this many standard errors are merged.
 Z = 2.58
-#: Weight of the host's rate, and within it of the overall rate, in a template's smoothed purity.
+#: Labelled urls that a wider group's rate is worth in the smoothed purity of a narrower one.
 SMOOTHING = 2.0
-#: Templates with this many labelled urls have a purity; those of at least PURITY are rejected.
-LEAST_LABELLED = 5
+#: Urls of templates with at least this purity are rejected.
 PURITY = 0.9
 
 Rule = tuple[str, str, str]
@@ -43,69 +40,98 @@ def matching_rule(host, path, rules: list[Rule]):
     return name, verdict
 
 
-def _children(rows: DataFrame, seg) -> DataFrame:
-    """rows with one more template level: seg's own text, or "*" where it varies or its branch is like its siblings.
+def domain_of(host):
+    """The last two labels of a host: sibling hosts share them."""
+    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
 
-    The tree's nodes are counts by (host, template, segment), so a hot host is spread over its nodes."""
-    node = rows.withColumn("__s", seg)
-    counts = node.groupBy("host", "template", "__s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    family = counts.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n").alias("all"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
-    both = counts.join(family, ["host", "template"])
-    seen, rest = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
-    rate = (F.col("all_bad") + 1) / (F.col("all_bad") + F.col("all_good") + 2)
-    gap = F.col("bad") / F.greatest(seen, F.lit(1)) - (F.col("all_bad") - F.col("bad")) / F.greatest(rest, F.lit(1))
-    unlike = (seen > 0) & (rest > 0) & (F.abs(gap) > Z * F.sqrt(rate * (1 - rate) * (1 / F.greatest(seen, F.lit(1)) + 1 / F.greatest(rest, F.lit(1)))))
-    #: with labels on one side only, the branches cannot be called alike
-    split = (seen > 0) != (rest > 0)
-    varies = F.col("__s").rlike(r"\d") | ((F.col("fan") >= FAN) & (F.col("n") < SHARE * F.col("all")))
-    level = F.when(F.col("__s") == "", "").when(~varies & ((F.col("fan") == 1) | unlike | split), F.concat(F.lit("/"), "__s")).otherwise("/*")
-    named = both.select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("__s").alias("s"), level.alias("level"))
-    joined = node.join(named, (node["host"] == named["h"]) & (node["template"] == named["t"]) & (node["__s"] == named["s"]))
-    return joined.select("host", "path", "segments", F.concat("template", "level").alias("template"), "n", "bad", "good")
+
+def _varies(seg):
+    return seg.rlike(r"\d")
+
+
+def _skip_shared(rows: DataFrame) -> DataFrame:
+    """Pass over the segments that all paths of a node share, so a level of the tree is only spent where a node branches."""
+    ends = rows.groupBy("host", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.count("*").alias("paths"))
+    unlike = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), F.lit(False))
+    shared = F.slice("lo", F.lit(1), F.when(unlike > 0, (unlike - 1).cast("int")).otherwise(F.size("lo")))
+    text = F.concat_ws("", F.transform(shared, lambda s: F.when(_varies(s), "/*").otherwise(F.concat(F.lit("/"), s))))
+    nodes = materialise(ends.select("host", "template", F.size(shared).alias("skip"), text.alias("more"), "paths"))
+    both = split_join(rows, nodes, ["host", "template"], "paths")
+    left = F.slice("rest", F.col("skip") + 1, F.greatest(F.size("rest") - F.col("skip"), F.lit(0)))
+    return both.select("host", "path", F.concat("template", "more").alias("template"), left.alias("rest"), "n", "bad", "good")
 
 
-def path_templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, path, template, purity) for the distinct (host, path) of urls, which has host, path, n, bad and good.
+def _children(rows: DataFrame) -> DataFrame:
+    """rows with one more template level: the next segment's own text, or "*" where it varies or its branch is like its siblings.
 
-    purity is the template's block rate, smoothed toward its host's and the overall rate;
-    null where too few of its urls are labelled."""
+    Branches are called alike if both sides have labels and their block rates do not differ. The tree's
+    nodes are counts by (host, template, segment), so a hot host is spread over its nodes."""
+    node = materialise(rows.withColumn("seg", F.coalesce(F.try_element_at("rest", F.lit(1)), F.lit(""))))
+    counts = materialise(node.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("paths")))
+    family = counts.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n").alias("all"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.count("*").alias("branches"))
+    both = split_join(counts, materialise(family), ["host", "template"], "branches")
+    seen, rest = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
+    rate = (F.col("all_bad") + 1) / (F.col("all_bad") + F.col("all_good") + 2)
+    gap = F.col("bad") / F.greatest(seen, F.lit(1)) - (F.col("all_bad") - F.col("bad")) / F.greatest(rest, F.lit(1))
+    error = F.sqrt(rate * (1 - rate) * (1 / F.greatest(seen, F.lit(1)) + 1 / F.greatest(rest, F.lit(1))))
+    alike = (seen > 0) & (rest > 0) & (F.abs(gap) <= Z * error)
+    varies = _varies(F.col("seg")) | ((F.col("fan") >= FAN) & (F.col("n") < SHARE * F.col("all")))
+    level = F.when(F.col("seg") == "", "").when(varies | alike, "/*").otherwise(F.concat(F.lit("/"), "seg"))
+    levels = materialise(both.select("host", "template", "seg", level.alias("level"), "paths"))
+    out = split_join(node, levels, ["host", "template", "seg"], "paths")
+    left = F.slice("rest", F.lit(2), F.greatest(F.size("rest") - 1, F.lit(0)))
+    return materialise(out.select("host", "path", F.concat("template", "level").alias("template"), left.alias("rest"), "n", "bad", "good", (F.col("seg") == "").alias("ended")))
+
+
+def path_templates(urls: DataFrame) -> DataFrame:
+    """(host, path, template, purity, n) for the distinct (host, path) of urls, which has host, path, n, bad and good.
+
+    A host's tree branches until its paths end, however deep; each round goes down one branching level of
+    all hosts. purity is the block rate of the template's labelled urls on its host, smoothed toward the
+    template's rate over sibling hosts (same last two labels), that toward its rate over all hosts, and
+    that toward the rate of all labelled urls. So a template without labels of its own is judged by what is
+    known of it elsewhere, and few labels move a purity little."""
     rows = urls.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = rows.select("host", "path", F.filter(F.split("path", "/"), lambda s: s != "").alias("segments"), F.lit("").alias("template"), "n", "bad", "good")
-    rows = materialise(rows)
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for k in range(min(depth, deepest)):
-        rows = materialise(_children(rows, F.coalesce(F.try_element_at("segments", F.lit(k + 1)), F.lit(""))))
-    rows = rows.withColumn("template", F.when(F.size("segments") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-    rows = materialise(rows.select("host", "path", "template", "n", "bad", "good"))
+    rows = materialise(rows.select("host", "path", F.lit("").alias("template"), F.filter(F.split("path", "/"), lambda s: s != "").alias("rest"), "n", "bad", "good"))
+    done = None
+    while not rows.isEmpty():
+        rows = _children(_skip_shared(rows))
+        ended = rows.filter("ended").select("host", "path", "template", "n", "bad", "good")
+        done = ended if done is None else done.union(ended)
+        rows = rows.filter("not ended").drop("ended")
+    done = materialise(done if done is not None else rows.drop("rest"))
     sums = [F.sum("bad").alias("bad"), F.sum("good").alias("good")]
-    bad, good = rows.agg(*sums).first()
-    base = ((bad or 0) + 1) / ((bad or 0) + (good or 0) + 2)
+    bad, good = done.agg(*sums).first()
     smooth = lambda prior: (F.col("bad") + SMOOTHING * prior) / (F.col("bad") + F.col("good") + SMOOTHING)
-    per_template = rows.groupBy("host", "template").agg(*sums)
-    per_host = per_template.groupBy("host").agg(*sums).select("host", smooth(F.lit(base)).alias("prior"))
-    labelled = F.col("bad") + F.col("good") >= LEAST_LABELLED
-    pure = per_template.join(per_host, "host").select("host", "template", F.when(labelled, smooth(F.col("prior"))).alias("purity"))
-    return rows.select("host", "path", "template").join(pure, ["host", "template"])
+    own = materialise(done.groupBy("host", "template").agg(*sums, F.count("*").alias("paths")).withColumn("domain", domain_of(F.col("host"))))
+    by_domain = materialise(own.groupBy("domain", "template").agg(*sums, F.count("*").alias("hosts")))
+    by_template = by_domain.groupBy("template").agg(*sums, F.count("*").alias("domains"))
+    base = ((bad or 0) + 1) / ((bad or 0) + (good or 0) + 2)
+    pooled = materialise(by_template.select("template", smooth(F.lit(base)).alias("prior"), "domains"))
+    siblings = materialise(split_join(by_domain, pooled, ["template"], "domains").select("domain", "template", smooth(F.col("prior")).alias("prior"), "hosts"))
+    pure = split_join(own, siblings, ["domain", "template"], "hosts").select("host", "template", smooth(F.col("prior")).alias("purity"), "paths")
+    return split_join(done.select("host", "path", "template", "n"), materialise(pure), ["host", "template"], "paths")
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", depth: int = DEPTH, purity: float = PURITY) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", purity: float = PURITY) -> DataFrame:
     """(id_col, host, path, rule, verdict, template, purity) for each row of pages.
 
-    Rules come first, the longest that fits. Other urls are blocked if the labelled purity of their
-    host's path template reaches purity, else allowed. labels holds (id_col, label), label 1 to block;
-    without it the urls that rules decide are the labelled ones, blocked ones counting as 1. Distinct
-    (host, path) pairs are counted before the tree is built. A null url has empty host and path and is
-    allowed; null ids and repeated rows each come back; an empty table gives an empty result."""
+    Rules come first, the longest that fits; of rules as long as each other the later one. Other urls are
+    blocked if the smoothed labelled purity of their host's path template reaches purity, else allowed.
+    labels holds (id_col, label), label 1 to block, where labels that disagree about an id block; without it
+    the urls that rules decide are the labelled ones, blocked ones counting as 1. Distinct (host, path)
+    pairs are counted before the tree is built. A null url has empty host and path, the template of an
+    empty path, and is judged like any other; null ids and repeated rows each come back; very long
+    paths are read whole; other columns are not read; an empty table gives an empty result."""
     base = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": name, "ruled": verdict})
+    base = materialise(base.withColumns({"rule": name, "ruled": verdict}))
     if labels is None:
         urls = base.withColumns({"bad": (F.col("ruled") == "block").cast("int"), "good": (F.col("ruled") == "allow").cast("int")})
     else:
         own = labels.groupBy(F.col(id_col).alias("lid")).agg(F.max(F.col("label").cast("int")).alias("label"))
         urls = base.join(own, base["id"] == own["lid"], "left").withColumns({"bad": F.col("label"), "good": 1 - F.col("label")})
     urls = urls.select("host", "path", F.lit(1).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"), F.coalesce("good", F.lit(0)).alias("good"))
-    found = path_templates(urls, depth)
-    out = base.join(found, ["host", "path"], "left")
+    out = split_join(base, materialise(path_templates(urls)), ["host", "path"], "n")
     other = F.when(F.col("purity") >= purity, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", other).alias("verdict"), "template", "purity")
