@@ -260,17 +260,89 @@ def test_language_odd_rows(spark, odd):
     assert {r.lang_pred for r in got if r.doc_id in (1, 2)} == {"und"}
     assert language_id.train(odd.limit(0)).langs == []
     assert language_id.keep_identified(odd, model).columns == odd.columns
-    assert {r.lang_pred for r in language_id.identify(odd, language_id.train(odd.limit(0))).collect()} == {"und"}
+    none = language_id.train(odd.limit(0))
+    assert {r.lang_pred for r in language_id.identify(odd, none).collect()} == {"und"}
+    assert sorted(str(r.doc_id) for r in language_id.keep_identified(odd, none).collect()) == ["3", "4", "4", "5", "None"]
+    assert language_id.keep_identified(odd.limit(0), model).count() == 0
+
+
+def plain_symbols(text):
+    """The table's symbols of a text: letters by code point, each run of other characters one space, none ahead."""
+    out = []
+    for c in (text or "").lower() + "\n":
+        if c.isalpha():
+            out.append(ord(c) if ord(c) < 0x800 else 0x800 + ord(c) % 2039)
+        elif out and out[-1]:
+            out.append(0)
+    return out
+
+
+def brute_kneser_ney(texts):
+    """The chance of a symbol after four others, straight from the definition, as a function."""
+    runs = [[0, 0, 0, 0, *plain_symbols(t)] for t in texts]
+    whole = [tuple(s[i - 4 : i + 1]) for s in runs for i in range(4, len(s))]
+    tables, kinds = {}, set(whole)
+    tables[5] = {g: whole.count(g) for g in kinds}
+    for k in range(4, 0, -1):
+        tables[k] = {g: len({x for x in tables[k + 1] if x[1:] == g}) for g in {x[1:] for x in tables[k + 1]}}
+
+    def chance(g, k=5):
+        if k == 0:
+            return 1 / (len(tables[1]) + 1)
+        g = g[-k:]
+        own = {x: n for x, n in tables[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return chance(g, k - 1)
+        total = sum(own.values())
+        return max(own.get(g, 0) - 0.75, 0) / total + sum(min(n, 0.75) for n in own.values()) / total * chance(g, k - 1)
+
+    return chance
+
+
+def test_kneser_ney_equals_its_definition(spark, monkeypatch):
+    texts = ["Abac, abba! caba", "cab  bac", "", "ééa 漢字 ab"]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(9, "other words", "y")], "doc_id long, text string, lang string")
+    model, chance = language_id.train(d), brute_kneser_ney(texts)
+    asked = [*texts, "zab abacus", "...", None, "b"]
+    for block in (language_id.BLOCK, 3):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        monkeypatch.setattr(language_id, "PART", block)
+        ce, size = model.entropies(asked)
+        for i, t in enumerate(asked):
+            s = [0, 0, 0, 0, *plain_symbols(t)]
+            assert size[i] == len(s) - 4
+            want = -sum(np.log(chance(tuple(s[k - 4 : k + 1]))) for k in range(4, len(s)))
+            assert ce[i, 0] * max(1, size[i]) == pytest.approx(want, rel=1e-5)
 
 
 def test_kneser_ney_sums_to_one(spark):
     d = spark.createDataFrame([(1, "abac abba caba", "x"), (2, "cab bac", "x")], "doc_id long, text string, lang string")
-    model = language_id.train(d)
-    packed, _ = language_id.grams(["abac abba caba cab bac"])
-    symbols = sorted({int(g) & 0xFFF for g in packed})
-    for g in set(packed.tolist()):
-        whole = np.array([(g >> 12 << 12) | s for s in symbols])
-        assert 0.5 < np.exp(model.log_probs("x", whole)).sum() <= 1.0 + 1e-9
+    for most in (1, 6, 1 << 20):
+        model = language_id.train(d, model_grams=most, least_grams=most)
+        s, size = language_id.symbols(["abac abba caba cab bac"])
+        for _, packed in language_id.grams(s, size):
+            for g in set(packed.tolist()):
+                seen = np.array([(g >> 12 << 12) | c for c in (0, 97, 98, 99, 7)])
+                assert np.exp(model.log_probs("x", seen)).sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_language_budgets(spark):
+    """Small budgets lose little; a rare language beside common ones stays; no budget empties a model."""
+    big = "/root/testdata/sf0.01"
+    docs = read(spark, big, "documents").filter("lang <> 'es' or doc_id % 10 = 0").cache()
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    seen = {}
+    for most in (500, 20_000, 1 << 21):
+        model = language_id.train(docs, model_grams=most, least_grams=most)
+        assert model.langs == ["de", "en", "es", "fr"]
+        assert all(len(own[0][0]) > 20 for own in model.orders.values())
+        got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+        seen[most] = sum(got[i] == truth[i] for i in truth) / len(truth)
+        if most >= 20_000:
+            rare = [i for i in truth if truth[i] == "es" and got[i] != "und"]
+            assert sum(got[i] == "es" for i in rare) >= 0.9 * len(rare)
+    docs.unpersist()
+    assert seen[500] > 0.85 and abs(seen[20_000] - seen[1 << 21]) <= 0.01
 
 
 def test_pipeline_matches_stages(spark, sf, docs):
