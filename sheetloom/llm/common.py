@@ -43,6 +43,22 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(lambda batches: work(slices(batches)), schema)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores added until no column of df has it, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all shuffle partitions, which adaptive execution does not merge: for rows that will grow."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def ddl_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

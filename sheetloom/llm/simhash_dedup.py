@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_type, map_rows, materialise
+from .common import ddl_type, fresh, map_rows, materialise, split_join, spread
 from .components import connected_components
 
 SEED = 42
@@ -43,7 +43,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def row_key(id_col: str, text_col: str):
-    """A 64-bit name of a row; rows that repeat both id and text share it."""
+    """A 64-bit name of a row among those of its id; rows that repeat both id and text share it."""
     return F.xxhash64(id_col, text_col)
 
 
@@ -111,12 +111,12 @@ def near_links(fps: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, fp, component_id) for each row."""
     fps = materialise(fingerprints(docs, id_col, text_col))
-    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")))
-    comps = connected_components(near_links(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
+    comps = connected_components(near_links(spread(distinct.select("fp"), "fp"))).select(F.col("node").alias("fp"), "component")
     named = distinct.join(comps, "fp")
     names = named.join(named.groupBy("component").agg(F.min("first").alias("name")), "component").select("fp", "name")
-    labels = distinct.join(names, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"))
-    return fps.join(labels, "fp")
+    labels = materialise(distinct.join(names, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"), "rows"))
+    return split_join(fps, labels, ["fp"], "rows")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,8 +124,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Documents whose fingerprints differ in two bits or fewer are linked; component_id is the smallest
     id reachable, the row's own included. Rows with a null id take part and get the smallest id of
-    their group, null if there is none; repeated rows each come back. Empty tables give empty results.
-    Exact copies share a fingerprint, which enters the index once. Only fingerprints are shuffled."""
+    their group, null if there is none; repeated rows each come back. Null, empty and wordless texts are
+    copies of each other; very long texts are read whole; other columns are not read. Empty tables give
+    empty results. Exact copies share a fingerprint, which enters the index once. Only fingerprints are shuffled."""
     out = _grouped(docs, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -134,12 +135,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one document of each near-duplicate group: the one with the smallest id.
 
     Among rows with that id, or in a group of null ids only, the row with the least hash of id and text
-    stays, once. All columns are returned as they are."""
+    stays, once. All columns are returned as they are, whatever their names; an empty table stays empty."""
     rows = materialise(_grouped(docs, id_col, text_col).select("id", "row", "fp", "component_id"))
     group = F.when(F.col("component_id").isNull(), F.col("fp")).otherwise(0)
-    best = rows.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("b")).select(F.col("b.row").alias("__row"))
-    twice = rows.groupBy("row").count().filter("count > 1").select(F.col("row").alias("__row"))
-    kept = docs.withColumn("__row", row_key(id_col, text_col)).join(best, "__row", "left_semi")
-    single = kept.join(twice, "__row", "left_anti")
-    repeated = kept.join(twice, "__row", "left_semi").dropDuplicates(["__row"])
-    return single.unionByName(repeated).select(*docs.columns)
+    best = rows.groupBy("component_id", group.alias("g")).agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("b"))
+    name, rid, key = fresh(docs, "row_key", "best_id", "best_key")
+    marked = docs.withColumn(name, row_key(id_col, text_col))
+    same = (F.col(name) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(rid))
+    kept = marked.join(best.select(F.col("b.id").alias(rid), F.col("b.row").alias(key)), same, "left_semi")
+    twice = rows.groupBy("id", "row").count().filter("count > 1").select(F.col("id").alias(rid), F.col("row").alias(key))
+    repeated = kept.join(twice, same, "left_semi").dropDuplicates([id_col, name])
+    return kept.join(twice, same, "left_anti").unionByName(repeated).select(*docs.columns)
