@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_type, slices
+from .common import ddl_type, fresh, slices
 
 WINDOW = 13
 #: A block of the benchmark that is sent to all tasks holds this many bytes of text at most, but for a single item.
@@ -34,6 +34,7 @@ class Probe:
         #: Every suffix that begins a window: its item, its first words up to a window, and their number.
         starts = [(i, s, min(WINDOW, len(t))) for i, t in enumerate(ids) for s in range(len(t) - min(WINDOW, len(t)) + 1)]
         self.item = np.array([x[0] for x in starts], np.int64)
+        self.place = np.array([x[1] for x in starts], np.int64)
         self.width = np.array([x[2] for x in starts], np.int64)
         self.rows = np.zeros((len(starts), WINDOW), np.int32)
         for k, (i, s, n) in enumerate(starts):
@@ -80,8 +81,8 @@ def search(tokens: np.ndarray, suffixes: np.ndarray, rows: np.ndarray, width: np
     return out[0], out[1]
 
 
-def match_shard(texts: list[str | None], probe: Probe) -> tuple[list[int], dict[int, list[tuple[int, int, int]]]]:
-    """Words of each text, and by text the verbatim matches (start word, end word, item) of benchmark windows.
+def match_shard(texts: list[str | None], probe: Probe) -> tuple[list[int], dict[int, list[tuple[int, int, int, int]]]]:
+    """Words of each text, and by text the verbatim matches (start word, end word, item, its word) of benchmark windows.
 
     Only runs of benchmark vocabulary as long as the shortest window can hold a match, so the shard's
     suffix array is made of these runs, with zeros between them."""
@@ -99,7 +100,7 @@ def match_shard(texts: list[str | None], probe: Probe) -> tuple[list[int], dict[
                 tokens += [ids[s:e], np.zeros(1, np.int32)]
                 owner.append(np.full(e - s + 1, k))
                 place.append(np.arange(s, e + 1))
-    found: dict[int, list[tuple[int, int, int]]] = {}
+    found: dict[int, list[tuple[int, int, int, int]]] = {}
     if tokens:
         all_, owner, place = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
         order = suffix_array(all_)
@@ -108,23 +109,23 @@ def match_shard(texts: list[str | None], probe: Probe) -> tuple[list[int], dict[
         for p in np.flatnonzero(hi > lo):
             for at in order[lo[p] : hi[p]]:
                 s = int(place[at])
-                found.setdefault(int(owner[at]), []).append((s, s + int(probe.width[p]), int(probe.item[p])))
+                found.setdefault(int(owner[at]), []).append((s, s + int(probe.width[p]), int(probe.item[p]), int(probe.place[p])))
     return sizes, found
 
 
-def _merged(matches: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Windows of one item that run on by one word are one longer match; these are the longest matches."""
+def _merged(matches: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """The longest matches: windows that overlap or touch in the text and lie as far apart in the item are one."""
     out: list[list] = []
-    for s, e, item in sorted(matches, key=lambda m: (m[2], m[0], m[1])):
-        if out and out[-1][2] == item and s <= out[-1][1] - 1:
+    for s, e, item, place in sorted(matches, key=lambda m: (m[2], m[0] - m[3], m[0])):
+        if out and out[-1][2] == item and out[-1][0] - out[-1][3] == s - place and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
-            out.append([s, e, item])
-    return sorted((s, e, item) for s, e, item in out)
+            out.append([s, e, item, place])
+    return sorted(map(tuple, out))
 
 
-MATCHES = "array<struct<start:bigint,end:bigint,item:string>>"
-_ARROW_MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())]))
+MATCHES = "array<struct<start:bigint,end:bigint,item:string,item_start:bigint>>"
+_ARROW_MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())]))
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int):
@@ -140,32 +141,31 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     yield block
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with two more columns: __words, the number of words, and __matches, verbatim benchmark matches.
+def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, words_name: str = "n_words", matches_name: str = "matches") -> DataFrame:
+    """docs with two more columns: the number of words, and the verbatim benchmark matches by their starts.
 
-    A match is a stretch of document words, [start, end), which holds windows of 13 words of the item, or
-    the whole item if it is shorter. Each task builds suffix arrays of its shard of documents and binary
-    searches every benchmark suffix in them. The benchmark goes out in blocks of bounded size; each block
-    is one pass without a shuffle. Null texts have no words; an empty benchmark matches nothing."""
-    names = docs.columns
-    at = names.index(text_col)
-    out = docs
+    A match is a longest stretch of document words, [start, end), that equals the item's words from item_start
+    on and holds windows of 13 words of the item, or the whole item if it is shorter. Each task builds suffix
+    arrays of its shard of documents and binary searches every benchmark suffix in them. The benchmark goes
+    out in blocks of bounded size; each block is one pass without a shuffle. Null texts have no words; an
+    empty benchmark matches nothing; repeated items and rows all count; a null item id is the empty name."""
+    at, out = docs.columns.index(text_col), docs
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        out = _pass(out, docs.sparkSession.sparkContext.broadcast(block), at, k > 0)
+        out = _pass(out, docs.sparkSession.sparkContext.broadcast(block), at, k > 0, words_name, matches_name)
     return out
 
 
-def _pass(docs: DataFrame, block, at: int, more: bool) -> DataFrame:
-    schema = docs.schema if more else docs.select("*", F.lit(0).cast("bigint").alias("__words"), F.lit(None).cast(MATCHES).alias("__matches")).schema
+def _pass(docs: DataFrame, block, at: int, more: bool, words_name: str, matches_name: str) -> DataFrame:
+    schema = docs.schema if more else docs.select("*", F.lit(0).cast("bigint").alias(words_name), F.lit(None).cast(MATCHES).alias(matches_name)).schema
 
     def work(batches):
         probe = Probe(block.value)
         for b in slices(batches, at):
             sizes, found = match_shard(b.column(at).to_pylist(), probe)
-            rows = [[(s, e, probe.names[i]) for s, e, i in found.get(k, ())] for k in range(b.num_rows)]
+            rows = [[(s, e, probe.names[i], p) for s, e, i, p in found.get(k, ())] for k in range(b.num_rows)]
             if more:
-                rows = [r + [(m["start"], m["end"], m["item"]) for m in old or ()] for r, old in zip(rows, b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            matches = pa.array([[{"start": s, "end": e, "item": i} for s, e, i in _merged(r)] for r in rows], _ARROW_MATCHES)
+                rows = [r + [(m["start"], m["end"], m["item"], m["item_start"]) for m in old or ()] for r, old in zip(rows, b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            matches = pa.array([[{"start": s, "end": e, "item": i, "item_start": p} for s, e, i, p in _merged(r)] for r in rows], _ARROW_MATCHES)
             kept = b.columns[:-2] if more else b.columns
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes, pa.int64()), matches], names=[f.name for f in schema.fields])
 
@@ -176,21 +176,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id_col, n_words, n_hit, items, matches, contaminated) for each row of docs.
 
     n_hit counts document words inside any match; items are the sorted ids of matched items; a document
-    is contaminated if hit words are a twentieth of its words or more."""
+    is contaminated if hit words are a twentieth of its words or more. Null ids and repeated rows come back
+    as they are; null and empty texts have no words; very long texts are read whole; other columns are not
+    read; an empty table gives an empty result."""
     found = find_matches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), benchmark, "text", item_col, item_text_col)
-    return _judged(found).select(F.col("id").alias(id_col), F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"), F.array_sort(F.array_distinct("__matches.item")).alias("items"), F.col("__matches").alias("matches"), F.col("__bad").alias("contaminated"))
+    hit = _hit_words("matches")
+    return found.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.array_sort(F.array_distinct("matches.item")).alias("items"), "matches", _bad(hit, "n_words").alias("contaminated"))
 
 
-def _judged(found: DataFrame) -> DataFrame:
-    """Hit words from the matches, which are in the order of their starts."""
+def _hit_words(matches: str):
+    """Words inside any of the matches, which are in the order of their starts."""
     step = lambda acc, m: F.struct(
         (acc["n"] + F.greatest(F.lit(0), m["end"] - F.greatest(acc["end"], m["start"]))).cast("bigint").alias("n"), F.greatest(acc["end"], m["end"]).alias("end")
     )
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
-    hit = F.aggregate("__matches", zero, step, lambda acc: acc["n"])
-    return found.withColumn("__hit", hit).withColumn("__bad", (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__words")))
+    return F.aggregate(matches, zero, step, lambda acc: acc["n"])
+
+
+def _bad(hit, words: str):
+    return (hit > 0) & (20 * hit >= F.col(words))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, columns unchanged."""
-    return _judged(find_matches(docs, benchmark, text_col, item_col, item_text_col)).filter("not __bad").select(*docs.columns)
+    """docs without the contaminated ones, columns unchanged, whatever their names."""
+    words, matches = fresh(docs, "n_words", "matches")
+    found = find_matches(docs, benchmark, text_col, item_col, item_text_col, words_name=words, matches_name=matches)
+    return found.filter(~_bad(_hit_words(matches), words)).select(*docs.columns)
