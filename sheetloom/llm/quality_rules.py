@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl_type, map_rows, materialise
+from .common import ddl_type, fresh, map_rows, materialise, split_join
 
 #: Fixed values of the base rules.
 SPACES = b" \t\n\r\x0b\f"
@@ -82,21 +82,22 @@ def normalised(line):
 
 
 def document_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(row, host, doc, pos, key, n) for every line with a word; key names host and normalised line."""
-    picked = docs.select(F.xxhash64(id_col, text_col).alias("row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
+    """(id, row, host, doc, pos, key, n) for every line with a word; key names host and normalised line."""
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row"), host.alias("host"), F.xxhash64(text_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
     lines = picked.withColumn("line", normalised(F.col("raw"))).filter("line <> ''")
-    return lines.select("row", "host", "doc", "pos", F.xxhash64("host", "line").alias("key"), F.size(F.split("line", " ")).alias("n"))
+    return lines.select("id", "row", F.xxhash64("host").alias("host"), "doc", "pos", F.xxhash64("host", "line").alias("key"), F.size(F.split("line", " ")).alias("n"))
 
 
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(key, docs) of lines in more distinct documents of their host than line_docs and line_share of them.
+def frequent_lines(lines: DataFrame, docs: DataFrame, text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """(key, docs, times) of lines in more distinct documents of their host than line_docs and line_share of them.
 
     Documents are told apart by their texts, so exact copies count once and do not make their lines
     boilerplate. Counts are combined before the shuffle; a host's documents never meet in one task."""
-    lines = document_lines(docs, id_col, text_col, host_col)
-    counts = lines.groupBy("host", "key").agg(F.count_distinct("doc").alias("docs")).filter(F.col("docs") > line_docs)
-    hosts = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text_col).alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("all"))
-    return counts.join(hosts, "host").filter(F.col("docs") > line_share * F.col("all")).select("key", "docs")
+    counts = lines.groupBy("host", "key").agg(F.count_distinct("doc").alias("docs"), F.count("*").alias("times")).filter(F.col("docs") > line_docs)
+    host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("")))
+    hosts = docs.select(host.alias("host"), F.xxhash64(text_col).alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("all"))
+    return counts.join(hosts, "host").filter(F.col("docs") > line_share * F.col("all")).select("key", "docs", "times")
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
@@ -104,12 +105,15 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows. Lines that are too
     frequent in the document's host are removed; a document with less than least_left of its words left
-    is depleted. kept: neither. Null texts have no words and fail; a null host is the empty host;
-    repeated rows each come back and count once. Only lines' hashes are shuffled, never texts."""
-    bad = materialise(frequent_lines(docs, id_col, text_col, host_col, line_docs, line_share))
-    lines = document_lines(docs, id_col, text_col, host_col)
-    removed = lines.join(bad.select("key"), "key").groupBy("row", "pos").agg(F.max("n").alias("n"), F.max("key").alias("key")).groupBy("row").agg(F.sum("n").alias("removed"), F.collect_set("key").alias("removed_keys"))
-    out = document_measures(docs, id_col, text_col).join(removed, "row", "left")
+    is depleted. kept: neither. Null and empty texts have no words and fail; a null host is the empty host;
+    null ids and repeated rows each come back, and a repeated row's lines count once; very long texts are
+    read whole; other columns are not read; an empty table gives an empty result. Lines are written once,
+    as hashes, for counting and for removal; the commonest never meet in one task."""
+    lines = materialise(document_lines(docs, id_col, text_col, host_col))
+    bad = materialise(frequent_lines(lines, docs, text_col, host_col, line_docs, line_share))
+    found = split_join(lines, bad.select("key", "times"), ["key"], "times")
+    removed = found.groupBy("id", "row", "pos").agg(F.max("n").alias("n"), F.max("key").alias("key")).groupBy(F.col("id").alias("rid"), F.col("row").alias("rrow")).agg(F.sum("n").alias("removed"), F.collect_set("key").alias("removed_keys"))
+    out = document_measures(docs, id_col, text_col).join(removed, (F.col("row") == F.col("rrow")) & F.col("id").eqNullSafe(F.col("rid")), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     gone = F.coalesce("removed", F.lit(0)).cast("bigint")
     return out.select(
@@ -119,12 +123,13 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The kept documents with their boilerplate lines removed, columns unchanged."""
-    verdicts = judge_quality(docs, id_col, text_col, host_col, **limits).filter("kept").select(F.col("row").alias("__row"), F.col("removed_keys").alias("__keys")).dropDuplicates(["__row"])
-    joined = docs.withColumn("__row", F.xxhash64(id_col, text_col)).join(verdicts, "__row")
+    """The kept documents with their boilerplate lines removed, columns unchanged, whatever their names."""
+    row, keys, vid, vrow = fresh(docs, "row_key", "removed_keys", "verdict_id", "verdict_row")
+    verdicts = judge_quality(docs, id_col, text_col, host_col, **limits).filter("kept").select(F.col(id_col).alias(vid), F.col("row").alias(vrow), F.col("removed_keys").alias(keys)).dropDuplicates([vid, vrow])
+    joined = docs.withColumn(row, F.xxhash64(id_col, text_col)).join(verdicts, (F.col(row) == F.col(vrow)) & F.col(id_col).eqNullSafe(F.col(vid)))
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    stays = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("__keys", F.xxhash64(host, normalised(x))))
-    return joined.withColumn(text_col, F.when(F.col("__keys").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))).select(*docs.columns)
+    stays = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(keys, F.xxhash64(host, normalised(x))))
+    return joined.withColumn(text_col, F.when(F.col(keys).isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))).select(*docs.columns)
 
 
 #: DuckDB SQL of the query over `documents`.
