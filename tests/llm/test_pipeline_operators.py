@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sheetloom.llm import decontaminate, language_id, packing, queries, secret_scan, simhash_dedup
 from sheetloom.llm.common import read
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, fp string, id string, start long"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, fp string, id string, row_key long, best_id long, n_words string, matches string, __row long, __words int"
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +27,7 @@ def odd(spark):
     """Nulls everywhere, empty and long texts, repeated rows and clashing column names."""
     long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
     rows = [(1, None, None, None, None, "a", "b", 1), (2, "", "en", "s", 0, None, None, None), (None, "one two", "en", "s", 1, "a", "b", 1), (3, long, "en", "s", 9, "a", "b", 1), (4, "one  Two three", "fr", None, 9, "a", "b", 1), (4, "one  Two three", "fr", None, 9, "a", "b", 1), (5, "password = abcdef123", "en", "s", 1, "x", "y", 2), (None, None, None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, ODD)
+    return spark.createDataFrame([(*r, 7, "w", None, k, 5) for k, r in enumerate(rows)], ODD)
 
 
 def simhash(text):
@@ -184,18 +184,29 @@ def test_decontamination_small_blocks_and_short_items(spark):
     a = " ".join(f"q{i}" for i in range(30))
     docs = [(1, a), (2, "x A b! c y"), (3, None), (4, ""), (5, " ".join(["a b c"] * 4 + ["z"] * 300)), (6, "q0 q1 q2 " + " ".join(f"q{i}" for i in range(5, 18))), (None, "a b c"), (5, "a b c")]
     items = [(1, "A, b c"), (10, a), (2, " ".join(f"q{i}" for i in range(5, 20))), (3, None), (4, "zz")]
-    d = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, matches string")
+    d = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     for size in (1 << 20, 1):
         got = [r for r in decontaminate.find_matches(d, b, block_bytes=size).collect()]
-        flat = sorted((r.text or "", sorted({m.item for m in r["__matches"]})) for r in got)
+        flat = sorted((r.text or "", sorted({m.item for m in r.matches})) for r in got)
+        words = {r.text: decontaminate.words_of(r.text) for r in got}
+        named = {str(i): decontaminate.words_of(t) for i, t in items}
+        for r in got:
+            for m in r.matches:
+                own, other = words[r.text], named[m.item]
+                n = m.end - m.start
+                assert own[m.start : m.end] == other[m.item_start : m.item_start + n]
+                assert m.start == 0 or m.item_start == 0 or own[m.start - 1] != other[m.item_start - 1]
+                assert m.end == len(own) or m.item_start + n == len(other) or own[m.end] != other[m.item_start + n]
         want = brute_hits(list(enumerate(t for _, t in docs)), [(str(i), t) for i, t in items])
         assert [len(x[1]) for x in flat] == [want[k][2] for k, _ in sorted(enumerate(docs), key=lambda x: (x[1][1] or "", want[x[0]][2]))]
-        judged = decontaminate._judged(decontaminate.find_matches(d, b, block_bytes=size)).collect()
-        assert sorted((r["__words"], r["__hit"], r["__bad"]) for r in judged) == sorted((w[0], w[1], w[4]) for w in want.values())
+    judged = decontaminate.contamination(d, b).collect()
+    assert sorted((r.n_words, r.n_hit, r.contaminated) for r in judged) == sorted((w[0], w[1], w[4]) for w in want.values())
     assert decontaminate.contamination(d.limit(0), b).count() == 0
     assert decontaminate.contamination(d, b.limit(0)).filter("contaminated").count() == 0
-    assert decontaminate.drop_contaminated(d, b).columns == d.columns
+    named = d.select("*", F.lit("k").alias("matches"), F.lit(3).alias("N_words"), F.lit(1).alias("__hit"))
+    kept = decontaminate.drop_contaminated(named, b)
+    assert kept.columns == named.columns and all((r.matches, r.N_words) == ("k", 3) for r in kept.collect())
 
 
 def brute_base(text):
@@ -237,6 +248,25 @@ def test_entropy_allows_no_more_than_it_says():
     assert key[2:] not in left and key[::-1][:-2] not in left and left.replace("[SECRET]", "") == "a  b"
 
 
+def test_entropy_spans_match_brute_force():
+    """Windows counted anew at every place, over random runs of every class."""
+    rng = np.random.default_rng(8)
+    entropy = lambda w: -sum(w.count(c) / len(w) * np.log2(w.count(c) / len(w)) for c in set(w))
+    alphabets = ("0123456789", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "aab01")
+    found = 0
+    for _ in range(300):
+        run = "".join("".join(rng.choice(list(alphabets[rng.integers(4)]), rng.integers(5, 40))) for _ in range(rng.integers(1, 4)))
+        cover = set()
+        for s in range(len(run) - 19):
+            w = run[s : s + 20]
+            if any(set(w) <= members and entropy(w) >= limit - 1e-9 for _, members, limit in secret_scan.CLASSES) and not secret_scan.SAMPLE.search(w):
+                cover |= set(range(s, s + 20))
+        got = secret_scan.entropy_spans(run)
+        assert {k for s, e in got for k in range(s, e)} == cover
+        found += bool(got)
+    assert found > 100
+
+
 def test_secret_odd_rows(spark, odd):
     assert secret_scan.secret_spans(odd).count() == 8
     out = secret_scan.redact_secrets(odd)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sheetloom.llm import context_mixing, quality_rules, queries, substring_dedup, toxicity, url_filter
 from sheetloom.llm.common import read
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, row long, n int"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row long, n int, row_key int, removed_keys string, __keys int, id string, key string"
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def docs(spark, sf):
 def odd(spark):
     long = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
     rows = [(1, None, None, None, None, 1, 2), (2, "", "en", "s", 0, None, None), (None, "one two", "en", "s", 1, 1, 1), (3, long, "en", "s", 9, 1, 1), (4, "one  Two three", "fr", None, 9, 1, 1), (4, "one  Two three", "fr", None, 9, 1, 1), (None, None, None, None, None, None, None)]
-    return spark.createDataFrame(rows, ODD)
+    return spark.createDataFrame([(*r, 1, "a", 2, None, "k") for r in rows], ODD)
 
 
 def plain_url(url):
