@@ -161,3 +161,29 @@ def sigmoid(x: Column, limit: float = 30.0) -> Column:
 
 def aic(rms: Column, n: Column, k: int) -> Column:
     return 2 * k + n * F.log(2 * 3.141592653589793 * (rms * rms + 1e-10)) + n
+
+
+def softmax(values: Column) -> Column:
+    """Shares of exp(value) of an array, stable for large values."""
+    top = F.array_max(values)
+    up = F.transform(values, lambda v: F.exp(v - top))
+    total = F.aggregate(up, F.lit(0.0), lambda a, v: a + v)
+    return F.transform(up, lambda v: v / total)
+
+
+def incircle(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
+    """1 where d lies inside the circle through the counter-clockwise a, b, c, 0 on it, -1 outside; each is (x, y)."""
+    (ax, ay), (bx, by), (cx, cy) = ((p[0] - d[0], p[1] - d[1]) for p in (a, b, c))
+    det = (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay)
+    return F.signum(det).cast("int")
+
+
+def orient3d(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
+    """Side of the plane a, b, c that d lies on, as 1, 0 or -1; each is (x, y, z)."""
+    (ax, ay, az), (bx, by, bz), (cx, cy, cz) = (tuple(u - v for u, v in zip(p, d, strict=True)) for p in (a, b, c))
+    return F.signum(ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx)).cast("int")
+
+
+def checked_box(values: Column) -> Column:
+    """Four numbers as an array of doubles, else null."""
+    return F.when((F.size(values) == 4) & ~F.exists(values, lambda v: v.try_cast("double").isNull()), F.transform(values, lambda v: v.try_cast("double")))

@@ -87,20 +87,6 @@ def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return precision_recall(flat, "threshold")
 
 
-def bootstrap(rows: DataFrame, value: str, key: str, rounds: int = 200, seed: int = 7) -> DataFrame:
-    """(mean, low, high): 95 % interval of the mean of value, by Poisson resampling, which needs no shuffle of rows.
-
-    Row weights are Poisson(1) draws made from a hash of the row's key and the round, so a rerun gives the same."""
-    draw = (F.pmod(F.xxhash64("k", key), F.lit(1 << 32)) + 0.5) / (1 << 32)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    many = rows.select(key, F.col(value).alias("v"), F.explode(F.sequence(F.lit(seed), F.lit(seed + rounds - 1))).alias("k"))
-    drawn = many.select("k", "v", draw.alias("u")).select("k", "v", sum(((F.col("u") > s).cast("int") for s in steps), F.lit(0)).alias("w"))
-    means = drawn.groupBy("k").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m")).agg(F.array_sort(F.collect_list("m")).alias("m"))
-    at = lambda q: F.element_at("m", int(q * (rounds - 1)) + 1)
-    mean = rows.agg(F.avg(value)).first()[0]
-    return means.select(F.lit(mean).alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
-
-
 def nearest_rank(values: str, q: float):
     """Percentile at index round((n - 1) q) of the sorted values, halves rounded to even, as an aggregate."""
     every = F.array_sort(F.collect_list(values))

@@ -118,3 +118,88 @@ def pixel_scale(calibrated: Column, override_dpi: Column, file_dpi: Column) -> t
     scale = F.coalesce(calibrated, 25.4 / override_dpi, 25.4 / file_dpi)
     trust = F.when(calibrated.isNotNull() | override_dpi.isNotNull(), "high").when(file_dpi.isNotNull(), "medium").otherwise("unknown")
     return scale, trust
+
+
+def layer_list(rows: DataFrame) -> DataFrame:
+    return rows.select("layer").distinct().orderBy("layer")
+
+
+def without_zero_length(segments: DataFrame, least: float = 1e-4) -> DataFrame:
+    """segments of at least the length under which ends count as one point."""
+    return without_short(segments, least)
+
+
+def without_short(segments: DataFrame, least: float) -> DataFrame:
+    return segments.filter(g.distance(*map(F.col, ("x0", "y0", "x1", "y1"))) >= least)
+
+
+def relative_coordinates(segments: DataFrame, drawing: str) -> DataFrame:
+    """segments with their drawing's origin ox, oy, the middle of its bounds, and rx0 .. ry1 from it in single precision."""
+    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
+    origin = segments.groupBy(drawing).agg(((low("x0", "x1") + high("x0", "x1")) / 2).alias("ox"), ((low("y0", "y1") + high("y0", "y1")) / 2).alias("oy"))
+    return segments.join(origin, drawing).withColumns({f"r{c}": (F.col(c) - F.col(f"o{c[0]}")).cast("float") for c in ("x0", "y0", "x1", "y1")})
+
+
+def calibration_scale(x0: Column, y0: Column, x1: Column, y1: Column, real: Column) -> Column:
+    """Real length over the measured one; null where the points are one."""
+    return F.try_divide(real, g.distance(x0, y0, x1, y1))
+
+
+def scale_boxes(boxes: DataFrame, width: Column, height: Column, to_width: Column, to_height: Column) -> DataFrame:
+    """boxes of a page of width and height on a page of to_width and to_height."""
+    return boxes.withColumns({c: F.col(c) * (to_width / width if c[0] == "x" else to_height / height) for c in ("x0", "y0", "x1", "y1")})
+
+
+#: Hint words of the families, in the order in which they are asked.
+FAMILY_HINTS = {
+    "text": ["text", "ocr", "dimension", "leader", "callout", "note", "label"],
+    "sheet": ["title", "table", "schedule", "legend", "stamp", "sheet"],
+    "symbol": ["symbol", "fixture", "furniture", "stair", "column", "equipment", "icon"],
+    "space": ["room", "space", "area", "region", "polygon", "closed"],
+    "boundary": ["wall", "door", "window", "opening", "line", "polyline", "boundary"],
+}
+
+
+def route_family(hint: Column, large: Column, default: Column) -> tuple[Column, Column]:
+    """Family by the hint's words, else space for a large region, else default; and whether it abstains."""
+    words = F.split(F.regexp_replace(F.lower(F.trim(F.coalesce(hint, F.lit("unknown")))), "[ -]", "_"), "_")
+    out = None
+    for family, own in FAMILY_HINTS.items():
+        met = F.arrays_overlap(words, F.array(*map(F.lit, own)))
+        out = F.when(met, family) if out is None else out.when(met, family)
+    found = out.when(large, "space")
+    return F.coalesce(found, default), found.isNull()
+
+
+def parse_quality(total: Column, valid: Column, errors: Column, warnings: Column, mismatch: Column, flat: Column) -> Column:
+    """1 less weighted penalties for lost entities, errors, warnings, a wrong unit and flattened 3D entities, within 0 and 1."""
+    lost = F.when(total > 0, (1 - valid / total) * 0.4).otherwise(0.0)
+    score = 1 - lost - F.least(F.lit(0.3), errors * 0.05) - F.least(F.lit(0.15), warnings * 0.01) - F.when(mismatch, 0.1).otherwise(0.0) - F.least(F.lit(0.05), flat * 0.01)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+def recovery_rate(recovered: Column, corrupted: Column) -> Column:
+    return F.coalesce(F.try_divide(recovered, recovered + corrupted), F.lit(1.0))
+
+
+def dimension_summary(rows: DataFrame) -> DataFrame:
+    """(kind, n, low, high): count of each kind of dimension and the range of its positive measurements."""
+    positive = F.when(F.col("measurement") > 0, F.col("measurement"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.min(positive).alias("low"), F.max(positive).alias("high"))
+
+
+def is_dashed(length: Column) -> Column:
+    """As an aggregate: three pieces or more of nearly one length."""
+    return (F.count(length) >= 3) & (F.stddev_pop(length) / F.greatest(F.avg(length), F.lit(1e-6)) < 0.3)
+
+
+def gap_class(length: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """collinear, orthogonal or angled by the directions at a gap's ends; small or unknown where one is not given."""
+    none = ax.isNull() | ay.isNull() | bx.isNull() | by.isNull()
+    cos = F.abs(F.try_divide(ax * bx + ay * by, F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)))
+    return F.when(none, F.when(length < 2.0, "small").otherwise("unknown")).when(cos.isNull(), "unknown").when(cos > 0.9, "collinear").when(cos < 0.2, "orthogonal").otherwise("angled")
+
+
+def flat_or_solid(low_z: Column, high_z: Column) -> Column:
+    """True for an entity whose heights differ."""
+    return F.abs(high_z - low_z) > 1e-6

@@ -46,3 +46,90 @@ def circular_peaks(rows: DataFrame, bins: int, reach: int) -> DataFrame:
     near = h.select("n", F.explode(F.array(*(F.lit(k) for k in range(-reach, reach + 1) if k))).alias("k"), "bin").select(F.pmod(F.col("bin") + F.col("k"), F.lit(bins)).alias("bin"), F.col("n").alias("m"))
     top = near.groupBy("bin").agg(F.max("m").alias("m"))
     return h.join(top, "bin", "left").filter("m is null or n >= m").select("bin", "n")
+
+
+def dataset_summary(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """(keys, n, least, most)."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"))
+
+
+def point_map(points: DataFrame, digits: int = 9) -> DataFrame:
+    """points (id, x, y) with first, the least id of the points that are equal to so many digits."""
+    key = lambda c: F.round(F.col(c) * 10.0**digits)
+    k = points.withColumns({"kx": key("x"), "ky": key("y")})
+    first = k.groupBy("kx", "ky").agg(F.min("id").alias("first"))
+    return k.join(first, ["kx", "ky"]).drop("kx", "ky")
+
+
+def merge_on_grid(points: DataFrame, tol: float) -> DataFrame:
+    """(id, x, y, n): one point, the one of least id, of those that round to one grid place of width tol."""
+    g = points.groupBy(F.round(F.col("x") / tol).alias("gx"), F.round(F.col("y") / tol).alias("gy")).agg(F.min_by(F.struct("id", "x", "y"), "id").alias("p"), F.count("*").alias("n"))
+    return g.select("p.id", "p.x", "p.y", "n")
+
+
+def union_ranked(base: DataFrame, extra: DataFrame, scale: float) -> DataFrame:
+    """Both tables with side; base scores are raised by one and extra ones scaled, so that base always ranks first."""
+    return base.withColumns({"side": F.lit("base"), "score": F.col("score") + 1}).unionByName(extra.withColumns({"side": F.lit("extra"), "score": F.col("score") * scale}))
+
+
+def graph_sets(edges: DataFrame) -> DataFrame:
+    """(kind, key): the node names and the edges source>target:relation, each once."""
+    nodes = edges.select(F.lit("node").alias("kind"), F.explode(F.array(F.col("source").cast("string"), F.col("target").cast("string"))).alias("key"))
+    return nodes.union(edges.select(F.lit("edge"), F.concat(F.col("source").cast("string"), F.lit(">"), F.col("target").cast("string"), F.lit(":"), F.col("relation").cast("string")))).distinct()
+
+
+def leakage_by(rows: DataFrame, group: str, key: str, split: str) -> DataFrame:
+    """(group, a, b, n): distinct keys that two splits share within each group."""
+    s = rows.groupBy(group, F.sha2(F.coalesce(F.col(key), F.lit("")), 256).alias("k")).agg(F.collect_set(split).alias("s")).filter("size(s) > 1")
+    pairs = s.select(group, F.explode("s").alias("a"), "s").select(group, "a", F.explode("s").alias("b")).filter("a < b")
+    return pairs.groupBy(group, "a", "b").agg(F.count("*").alias("n"))
+
+
+def locked_rows(rows: DataFrame, columns: list[str], order: str, most: int = 50) -> DataFrame:
+    """The first rows whose named columns hold a word of the splits that training must not see."""
+    return rows.filter(F.concat_ws(" ", *columns).rlike("locked|smoke")).orderBy(order).limit(most)
+
+
+def shuffled_split(rows: DataFrame, key: str, shares: dict[str, float], seed: int) -> DataFrame:
+    """(key, split): rows in the order of a seeded hash, cut by shares; exact to a row in expectation, and stable under reruns.
+
+    Each row's place is its hash as a part of the hash range, so no row needs to know the others."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    edge, out = 0.0, None
+    for name, share in shares.items():
+        edge += share
+        out = F.when(u < edge, name) if out is None else out.when(u < edge, name)
+    return rows.select(key, out.otherwise(name).alias("split"))
+
+
+def manifest_hash(files: DataFrame) -> DataFrame:
+    """(folder, hash) over path, a zero sign and the file hash of each folder's files (folder, path, sha), by path; folders are small."""
+    parts = F.array_sort(F.collect_list(F.struct("path", "sha")))
+    return files.groupBy("folder").agg(F.sha2(F.array_join(F.transform(parts, lambda p: F.concat(p["path"], F.lit("\u0000"), p["sha"])), ""), 256).alias("hash"))
+
+
+def unique_with_cap(rows: DataFrame, group: str, key: str, order: str, cap: int) -> DataFrame:
+    """The first row of each key of a group, and of these the first cap rows."""
+    return top_k(top_k(rows, [group, key], [order], 1), [group], [order], cap)
+
+
+def stratified_sample(rows: DataFrame, stratum: str, sizes: dict[str, int], key: str, seed: int) -> DataFrame:
+    """So many rows of each stratum, picked by a seeded hash of the key."""
+    out = None
+    for name, n in sizes.items():
+        part = top_k(rows.filter(F.col(stratum) == name), [stratum], [F.xxhash64(F.lit(seed), key), key], n)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def weighted_sample(rows: DataFrame, weight: Column, forced: Column, key: str, n: int, seed: int) -> DataFrame:
+    """(key, forced): all forced rows, then others up to n by the n greatest of u^(1/weight), u a seeded hash of the key.
+
+    Such draws are a weighted sample without replacement; each task keeps n rows."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    own = rows.select(key, forced.alias("forced"), F.when(weight > 0, F.log(u) / weight).otherwise(float("-inf")).alias("draw"))
+    return own.orderBy(F.desc("forced"), F.desc("draw"), key).limit(n).select(key, "forced")
+
+
+def by_priority(rows: DataFrame, priority: str, key: str, most: int) -> DataFrame:
+    return rows.orderBy(F.desc(priority), key).limit(most)

@@ -98,11 +98,6 @@ def ag_57_error_pairs(spark, d):
     return metrics.confusion(judged(spark, d)).filter("gold <> pred")
 
 
-@register("ag_32_bootstrap")
-def ag_32_bootstrap(spark, d):
-    return metrics.bootstrap(judged(spark, d), "pred", "id")
-
-
 @register("ag_61_compare", "WITH m AS (SELECT event_type, avg(CASE WHEN event_id % 2 = 0 THEN value END) AS base, avg(CASE WHEN event_id % 2 = 1 THEN value END) AS now FROM events GROUP BY event_type) SELECT event_type, round(base, 6) AS base, round(now, 6) AS now, round(100*(now-base)/nullif(base,0), 4) AS change, (now-base)/nullif(base,0) > 0.02 AS slower FROM m")
 def ag_61_compare(spark, d):
     odd = F.col("event_id") % 2
@@ -133,13 +128,6 @@ def jn_21_material_lookup(spark, d):
 WORDS = "CASE WHEN contains(lower(text), 'password') THEN 'door' WHEN contains(lower(text), 'license') THEN 'window' WHEN contains(lower(text), 'token') THEN 'opening' ELSE 'hard_wall' END"
 
 
-@register("prj_22_semantic_rules", f"SELECT {WORDS} AS semantic, count(*) AS n FROM documents GROUP BY 1")
-def prj_22_semantic_rules(spark, d):
-    low = F.lower("text")
-    kind = F.when(tx.contains_any(low, ["password"]), "door").when(tx.contains_any(low, ["license"]), "window").when(tx.contains_any(low, ["token"]), "opening").otherwise("hard_wall")
-    return read(spark, d, "documents").groupBy(kind.alias("semantic")).agg(F.count("*").alias("n"))
-
-
 @register("prj_02_unit_conversion", "SELECT l_orderkey, l_linenumber, round(l_quantity::DOUBLE * CASE l_returnflag WHEN 'A' THEN 10.0 WHEN 'R' THEN 25.4 WHEN 'N' THEN 304.8 ELSE 1.0 END, 4) AS mm FROM lineitem")
 def prj_02_unit_conversion(spark, d):
     unit = F.when(F.col("l_returnflag") == "A", "cm").when(F.col("l_returnflag") == "R", "Inch").when(F.col("l_returnflag") == "N", "foot").otherwise("none")

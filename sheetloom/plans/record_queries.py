@@ -48,12 +48,6 @@ def prj_19_pixel_scale(spark, d):
     return boxes(spark, d).select("id", F.round(scale, 9).alias("mm_per_px"), trust.alias("trust"))
 
 
-@register("prj_26_opening_width", f"WITH {SEGMENTS} SELECT id, CASE WHEN {LEN}/100 BETWEEN 0.5 AND 5 THEN round({LEN}/100, 6) END AS width FROM segments")
-def prj_26_opening_width(spark, d):
-    m = g.distance(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))) / 100
-    return segments(spark, d).select("id", F.when((m >= 0.5) & (m <= 5), F.round(m, 6)).alias("width"))
-
-
 @register("prj_42_confidence", "SELECT event_id, greatest(0, least(1, coalesce(try_cast(CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE (value / 10)::VARCHAR END AS DOUBLE), 0.3))) AS confidence FROM events")
 def prj_42_confidence(spark, d):
     raw = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise((F.col("value") / 10).cast("string"))

@@ -6,10 +6,12 @@ import duckdb
 import pandas as pd
 import pytest
 
-from sheetloom.plans import data_queries, drawing_queries, geometry_queries, record_queries
+import __spark_entry__ as entry
 
-PLANS = geometry_queries.QUERIES | data_queries.QUERIES | drawing_queries.QUERIES | record_queries.QUERIES
-SQL = geometry_queries.ORACLES | data_queries.ORACLES | drawing_queries.ORACLES | record_queries.ORACLES
+PLANS, SQL = {}, {}
+for plan in entry.PLANS:
+    PLANS |= plan.QUERIES
+    SQL |= plan.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +25,9 @@ def duck(sf):
 def plain(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if pd.api.types.is_datetime64_any_dtype(df[c]):
+            df[c] = df[c].astype("datetime64[us]").astype(str)
+            continue
         try:
             df[c] = pd.to_numeric(df[c]).astype(float).round(4) + 0.0
         except (ValueError, TypeError):
