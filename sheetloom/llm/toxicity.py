@@ -154,12 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sizes = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
 
     def sample(label: int, most: int) -> list[str]:
-        # a hash of the id thins the labels first, so that few texts meet the join
-        few = own.filter((F.col("label") == label) & (draw < min(1.0, 1.5 * most / max(1, sizes.get(label, 0)))))
-        rows = picked.join(few, "id").select(F.xxhash64("id", "text").alias("place"), "text").orderBy("place", "text").limit(most)
+        # twice as many ids as rows are wanted, by their hash, go to every task; so no text is shuffled
+        few = own.filter(F.col("label") == label).select("id").orderBy(F.xxhash64("id"), "id").limit(2 * most)
+        rows = picked.join(F.broadcast(few), "id").select(F.xxhash64("id", "text").alias("place"), "text").orderBy("place", "text").limit(most)
         return rows.toArrow().column("text").to_pylist()
 
     toxic, ordinary = sample(1, toxic_rows), sample(0, ordinary_rows)
