@@ -28,17 +28,30 @@ def gap_candidates(segments: DataFrame, reach: float, angle: float | None = None
     return both.filter(F.abs(F.col("ux_a") * F.col("ux_b") + F.col("uy_a") * F.col("uy_b")) >= angle).select("a", "ea", "b", "eb", "d")
 
 
-def fill_gaps(segments: DataFrame, reach: float) -> DataFrame:
-    """(a, ea, b, eb, d): the shortest connection out of each component of touching segments, both ways once.
-
-    A round of a spanning forest: each component takes its nearest other one, by distance and then ids."""
-    touching = gap_candidates(segments, 1e-6).select("a", "b")
-    comps = graphs.components(touching)
-    named = lambda side: segments.select(F.col("id").alias(side)).join(comps.withColumnRenamed("node", side), side, "left").select(side, F.coalesce("component", side).alias(f"c_{side}"))
-    links = gap_candidates(segments, reach).join(named("a"), "a").join(named("b"), "b").filter("c_a <> c_b")
-    one = F.struct("d", "a", "ea", "b", "eb")
-    out = links.select(F.col("c_a").alias("c"), one.alias("l")).union(links.select("c_b", one)).groupBy("c").agg(F.min("l").alias("l"))
-    return out.select("l.a", "l.ea", "l.b", "l.eb", "l.d").distinct()
+def fill_gaps(segments: DataFrame, reach: float, angle: float | None = None) -> DataFrame:
+    """(a, ea, b, eb, d): the shortest connections that join components of touching segments until none is left within reach.
+
+    In each round every component takes its nearest other one, by distance and then ids, which is a step of
+    the least spanning forest; so it is the same as taking all pairs by distance and keeping those that join
+    two components. angle (cosine) keeps pairs whose segments run on in nearly one direction."""
+    order = ("d", "a", "ea", "b", "eb")
+    links = graphs.written(gap_candidates(segments, reach, angle).select(*order))
+    joins = graphs.written(gap_candidates(segments, 1e-6).select("a", "b"))
+    out = None
+    while True:
+        comps = graphs.components(joins)
+        named = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))  # noqa: B023, E731
+        open_ = links.join(named("a"), "a", "left").join(named("b"), "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")}).filter("c_a <> c_b")
+        open_ = graphs.written(open_.select(*order, "c_a", "c_b"))
+        if open_.isEmpty():
+            break
+        one = F.struct(*order)
+        best = open_.select(F.col("c_a").alias("c"), one.alias("l")).union(open_.select("c_b", one)).groupBy("c").agg(F.min("l").alias("l"))
+        found = graphs.written(best.select("l.*").distinct())
+        out = found if out is None else out.union(found)
+        joins = joins.union(found.select("a", "b"))
+        links = open_.select(*order)
+    return (out if out is not None else links.limit(0)).select("a", "ea", "b", "eb", "d")
 
 
 def vertex_turns(points: DataFrame, ring: str = "ring", order: str = "idx") -> DataFrame:
@@ -172,13 +185,35 @@ def simplify(points: DataFrame, key: str, tol: float) -> DataFrame:
     return points.groupBy(key).applyInPandas(work, points.schema)
 
 
-def chamfer(points: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    """(key, hausdorff, chamfer) of two point sets for each key, whose sets are small: all pairs within a key only."""
-    a = points.select(key, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("idx").alias("i"))
-    b = others.select(key, F.col("x").alias("bx"), F.col("y").alias("by"), F.col("idx").alias("j"))
-    d = a.join(b, key).select(key, "i", "j", g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("d"))
-    side = lambda s: d.groupBy(key, s).agg(F.min("d").alias("d")).groupBy(key).agg(F.max("d").alias(f"max_{s}"), F.avg("d").alias(f"avg_{s}"))
-    return side("i").join(side("j"), key).select(key, F.greatest("max_i", "max_j").alias("hausdorff"), (F.col("avg_i") + F.col("avg_j")).alias("chamfer"))
+def nearest_any(points: DataFrame, others: DataFrame, key: str, cell: float, rounds: int = 40) -> DataFrame:
+    """(key, i, d): the distance from each point (key, idx, x, y) to the nearest of others with its key.
+
+    Cells double from round to round; only points that found none within the cell's width go on, so a point
+    looks at the crowd around it and not at all others."""
+    todo = graphs.written(points.select(F.col(key).alias("k"), F.col("idx").alias("i"), "x", "y").join(others.select(F.col(key).alias("k")).distinct(), "k", "left_semi"))
+    right = graphs.written(others.select(F.col(key).alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2")))
+    out = None
+    steps = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    for _ in range(rounds):
+        at = lambda c, size: F.floor(F.col(c) / size).cast("long")
+        look = todo.select("k", "i", "x", "y", at("x", cell).alias("cx"), at("y", cell).alias("cy"), F.explode(steps).alias("s")).select("k", "i", "x", "y", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+        home = right.select("k", "x2", "y2", at("x2", cell).alias("cx"), at("y2", cell).alias("cy"))
+        d = g.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
+        near = look.join(home, ["k", "cx", "cy"]).groupBy("k", "i").agg(F.min(d).alias("d")).filter(F.col("d") <= cell)
+        near = graphs.written(near)
+        out = near if out is None else out.union(near)
+        todo = graphs.written(todo.join(near.select("k", "i"), ["k", "i"], "left_anti"))
+        if todo.isEmpty():
+            return out.select(F.col("k").alias(key), "i", "d")
+        cell *= 4
+    raise RuntimeError("points lie too far apart")
+
+
+def chamfer(points: DataFrame, others: DataFrame, key: str, cell: float = 16.0) -> DataFrame:
+    """(key, hausdorff, chamfer) of two point sets (key, idx, x, y) for each key, by nearest points on a grid both ways."""
+    side = lambda p, q, s: nearest_any(p, q, key, cell).groupBy(key).agg(F.max("d").alias(f"max_{s}"), F.avg("d").alias(f"avg_{s}"))
+    both = side(points, others, "i").join(side(others, points, "j"), key)
+    return both.select(key, F.greatest("max_i", "max_j").alias("hausdorff"), (F.col("avg_i") + F.col("avg_j")).alias("chamfer"))
 
 
 def scene_problems(nodes: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:

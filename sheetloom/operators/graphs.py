@@ -2,37 +2,63 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import spatial
+
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder, its lineage cut.
 
-def _keep(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    The folder is the one that spark.checkpoint.dir names, else one in the warehouse, which is shared too."""
+    sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphs-"))
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component), component being the least node reachable over edges (a, b).
+def _hook(pairs: DataFrame, larger: bool) -> DataFrame:
+    """Point the neighbours v of u at the least node seen from u: those above u, or u and those below it."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = pairs.join(least, "u")
+    if larger:
+        out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    return out.filter("u <> v").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of the edges' two columns, component being the least node reachable.
 
-    Every round takes the least of the neighbours' labels and the label of the own label, so long
-    chains shorten geometrically; it ends when no label changes."""
-    both = _keep(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    labels = _keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select(F.col("u").alias("node"), "c"))
+    Large-star and small-star joins alternate until the table stops changing, in about as many rounds as the
+    largest component has binary digits. Neighbours are never gathered into one row: the least one is a
+    combined minimum that meets its edges by a join, which adaptive execution may split. Nulls and loops are
+    dropped; an empty table gives an empty result."""
+    a, b = edges.columns[:2]
+    pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct())
+    mark = None
     for _ in range(rounds):
-        around = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("c").alias("m"))
-        up = labels.select(F.col("node").alias("c"), F.col("c").alias("up"))
-        low = labels.join(around, labels["node"] == around["u"], "left").select("node", "c", "m")
-        step = _keep(low.join(up, "c", "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c"), F.coalesce("up", "c")).alias("c")))
-        labels = step.select("node", "c")
-        if step.filter("old <> c").isEmpty():
-            return labels.select("node", F.col("c").alias("component"))
-    raise RuntimeError("components did not settle")
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        pairs = written(_hook(_hook(both, larger=True), larger=False))
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    else:
+        raise RuntimeError("components did not settle")
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """(component, nodes, edges, most): size, edge count and greatest degree of each component of edges (a, b)."""
+    comps = written(components(edges))
+    n = comps.groupBy("component").agg(F.count("*").alias("nodes"))
+    e = edges.join(comps, edges["a"] == comps["node"]).groupBy("component").agg(F.count("*").alias("edges"))
+    d = degrees(edges).join(comps, "node").groupBy("component").agg(F.max("degree").alias("most"))
+    return n.join(e, "component").join(d, "component")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -44,16 +70,40 @@ def degree_type(degree):
     return F.when(degree <= 1, "endpoint").when(degree == 2, "L").when(degree == 3, "T").when(degree == 4, "X").otherwise("multi")
 
 
-def nesting(rings: DataFrame) -> DataFrame:
-    """(ring_id, parent_id, depth) of rings (ring_id, points): the parent is the smallest strictly larger
-    ring that holds the first vertex. Rings are one drawing's, and meet by a range join on envelopes."""
-    box = lambda f, c: f(F.transform("points", lambda p: p[c]))
-    r = rings.select("ring_id", "points", F.abs(g.ring_area(F.col("points"))).alias("area"), *(box(f, c).alias(f"{n}_{c}") for f, n in ((F.array_min, "lo"), (F.array_max, "hi")) for c in ("x", "y")), F.element_at("points", 1).alias("p"))
-    o = r.select(F.col("ring_id").alias("out_id"), F.col("points").alias("out_points"), F.col("area").alias("out_area"), *(F.col(c).alias(f"o_{c}") for c in ("lo_x", "lo_y", "hi_x", "hi_y")))
-    near = (F.col("p.x") >= F.col("o_lo_x")) & (F.col("p.x") <= F.col("o_hi_x")) & (F.col("p.y") >= F.col("o_lo_y")) & (F.col("p.y") <= F.col("o_hi_y")) & (F.col("out_area") > F.col("area"))
-    inside = r.join(o, near).filter(g.point_in_ring(F.col("p.x"), F.col("p.y"), F.col("out_points")))
-    found = inside.groupBy("ring_id").agg(F.min(F.struct("out_area", "out_id")).alias("m"), F.count("*").alias("depth"))
-    return r.select("ring_id").join(found, "ring_id", "left").select("ring_id", F.col("m.out_id").alias("parent_id"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+def with_box(rings: DataFrame) -> DataFrame:
+    """rings (points) with their envelope x0, y0, x1, y1."""
+    side = lambda f, c: f(F.transform("points", lambda p: p[c]))
+    return rings.withColumns({"x0": side(F.array_min, "x"), "y0": side(F.array_min, "y"), "x1": side(F.array_max, "x"), "y1": side(F.array_max, "y")})
+
+
+def nesting(rings: DataFrame, drawing: str = "drawing", cell: float = 100.0) -> DataFrame:
+    """(drawing, ring_id, parent_id, depth) of rings (drawing, ring_id, points): the parent is the smallest strictly
+    larger ring of the drawing that holds the first vertex, on ties the one of least id; depth counts such rings.
+
+    First vertices meet envelopes on a grid that fits the envelopes' sizes, so no two rings are compared
+    that lie apart. A ring's points are one row."""
+    r = with_box(rings.select(F.col(drawing).alias("own"), "ring_id", "points", F.abs(g.ring_area(F.col("points"))).alias("area")))
+    p = F.element_at("points", 1)
+    starts = r.select("own", "ring_id", "area", p["x"].alias("x0"), p["y"].alias("y0"), p["x"].alias("x1"), p["y"].alias("y1"))
+    both = spatial.overlap_pairs(starts, r, cell).filter("own = r_own and r_area > area")
+    inside = both.filter(g.point_in_ring(F.col("x0"), F.col("y0"), F.col("r_points")))
+    found = inside.groupBy("own", "ring_id").agg(F.min(F.struct("r_area", "r_ring_id")).alias("m"), F.count("*").alias("depth"))
+    every = rings.select(F.col(drawing).alias("own"), "ring_id").join(found, ["own", "ring_id"], "left")
+    return every.select(F.col("own").alias(drawing), "ring_id", F.col("m.r_ring_id").alias("parent_id"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+
+
+def nesting_paths(parents: DataFrame, rounds: int = 64) -> DataFrame:
+    """(ring_id, root_id, depth, path) of rings with parent_id: all parents up to the root, nearest first.
+
+    Paths double each round, so their number is that of the depth's binary digits."""
+    row = written(parents.select("ring_id", F.col("parent_id").alias("up"), F.filter(F.array("parent_id"), lambda p: p.isNotNull()).alias("path")))
+    for _ in range(rounds):
+        ahead = row.select(F.col("ring_id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("more"))
+        step = row.join(ahead, "up", "left").select("ring_id", F.col("up2").alias("up"), F.concat("path", F.coalesce("more", F.array().cast(row.schema["path"].dataType))).alias("path"))
+        row = written(step)
+        if row.filter("up is not null").isEmpty():
+            return row.select("ring_id", F.coalesce(F.try_element_at("path", F.lit(-1)), "ring_id").alias("root_id"), F.size("path").alias("depth"), "path")
+    raise RuntimeError("parents form a ring")
 
 
 def expand_blocks(inserts: DataFrame, children: DataFrame, limit: int = 32) -> DataFrame:
@@ -63,7 +113,7 @@ def expand_blocks(inserts: DataFrame, children: DataFrame, limit: int = 32) -> D
     level = inserts.select("root", "block", F.array("block").alias("path"))
     out, depth = None, 0
     while depth < limit:
-        rows = _keep(level.join(children, "block").select("root", "block", "path", "entity", "child"))
+        rows = written(level.join(children, "block").select("root", "block", "path", "entity", "child"))
         plain = rows.filter("child is null").select("root", "block", F.lit(depth).alias("depth"), "entity")
         out = plain if out is None else out.union(plain)
         level = rows.filter(F.col("child").isNotNull() & ~F.array_contains("path", F.col("child"))).select("root", F.col("child").alias("block"), F.concat("path", F.array("child")).alias("path"))

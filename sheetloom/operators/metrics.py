@@ -87,7 +87,12 @@ def threshold_sweep(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return precision_recall(flat, "threshold")
 
 
-def nearest_rank(values: str, q: float):
-    """Percentile at index round((n - 1) q) of the sorted values, halves rounded to even, as an aggregate."""
-    every = F.array_sort(F.collect_list(values))
-    return F.element_at(every, (F.bround((F.size(every) - 1) * q) + 1).cast("int"))
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
+    """(keys, p): the value at index round((n - 1) q) of each group in order, halves rounded to even.
+
+    Equal values are counted first; their ends come from running counts, so no group is gathered into a row."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("c"))
+    w = W.partitionBy(*keys).orderBy(value)
+    upto = counts.withColumns({"end": F.sum("c").over(w), "n": F.sum("c").over(W.partitionBy(*keys))})
+    at = F.bround((F.col("n") - 1) * q)
+    return upto.filter((F.col("end") > at) & (F.col("end") - F.col("c") <= at)).select(*keys, F.col(value).alias("p"))

@@ -17,9 +17,16 @@ def _iou(box: np.ndarray, others: np.ndarray) -> np.ndarray:
     return both / np.maximum(1e-9, area(box) + area(others) - both)
 
 
-def suppress(boxes: DataFrame, group: list[str], limit: float = 0.5, inclusive: bool = False, cap: int | None = None) -> DataFrame:
+#: Rows of a group that one task takes at a time; larger groups are decided in rounds over the pairs that overlap.
+MOST_ROWS = 4096
+
+
+def suppress(boxes: DataFrame, group: list[str], limit: float = 0.5, inclusive: bool = False, cap: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """Non-maximum suppression within each group: by score down, then id, a box stays if its overlap with all
-    kept ones is at most limit (inclusive: below it). A group is one page's boxes and runs in one task."""
+    kept ones is at most limit (inclusive: below it); with cap the first cap of a group.
+
+    Groups of up to most_rows boxes are each one task's. In larger ones a box stays once no better box that it
+    overlaps is open, and puts out those it overlaps; rounds go on until none is open. Both give the same."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
@@ -32,7 +39,42 @@ def suppress(boxes: DataFrame, group: list[str], limit: float = 0.5, inclusive:
                 kept.append(i)
         return pdf.iloc[kept]
 
-    return boxes.groupBy(*group).applyInPandas(work, boxes.schema)
+    large = boxes.groupBy(*group).agg(F.count("*").alias("rows")).filter(F.col("rows") > most_rows).drop("rows")
+    if large.isEmpty():
+        return boxes.groupBy(*group).applyInPandas(work, boxes.schema)
+    small = boxes.join(large, group, "left_anti").groupBy(*group).applyInPandas(work, boxes.schema)
+    kept = _suppressed_in_rounds(boxes.join(large, group, "left_semi"), group, limit, inclusive)
+    if cap is not None:
+        kept = top_k(kept, group, [F.desc("score"), "id"], cap)
+    return small.unionByName(kept)
+
+
+def _suppressed_in_rounds(boxes: DataFrame, group: list[str], limit: float, inclusive: bool) -> DataFrame:
+    from ..functions import geometry as g
+    from . import graphs, spatial
+
+    key = F.struct(*group, "id")
+    own = boxes.select(key.alias("key"), F.struct(*group).alias("own"), "id", "score", "x0", "y0", "x1", "y1")
+    o = g.iou([F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+    better = (F.col("score") > F.col("r_score")) | ((F.col("score") == F.col("r_score")) & (F.col("id") < F.col("r_id")))
+    pairs = spatial.overlap_pairs(own, own).filter(F.col("own") == F.col("r_own")).filter(better & (o >= limit if inclusive else o > limit))
+    pairs = graphs.written(pairs.select(F.col("key").alias("over"), F.col("r_key").alias("under")))
+    open_, kept = graphs.written(own.select("key")), None
+    while not open_.isEmpty():
+        now = graphs.written(open_.join(pairs.select(F.col("under").alias("key")).distinct(), "key", "left_anti"))
+        kept = now if kept is None else kept.union(now)
+        gone = pairs.join(now, pairs["over"] == now["key"], "left_semi").select(F.col("under").alias("key")).union(now)
+        open_ = graphs.written(open_.join(gone, "key", "left_anti"))
+        left = pairs.join(open_, pairs["over"] == open_["key"], "left_semi")
+        pairs = graphs.written(left.join(open_, left["under"] == open_["key"], "left_semi"))
+    return boxes.join(kept, key == F.col("key"), "left_semi")
+
+
+def suppress_and_fill(boxes: DataFrame, group: list[str], limit: float, cap: int) -> DataFrame:
+    """What suppression keeps, up to cap of a group, then the best of the others up to cap, whatever they overlap."""
+    first = suppress(boxes, group, limit, cap=cap).select(*group, "id").withColumn("first", F.lit(1))
+    ranked = boxes.join(first, [*group, "id"], "left")
+    return top_k(ranked, group, [F.desc_nulls_last("first"), F.desc("score"), "id"], cap).drop("first")
 
 
 def top_k(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
@@ -42,33 +84,40 @@ def top_k(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
 
 def budget(rows: DataFrame, group: str, per_group: int, per_label: int, total: int) -> DataFrame:
     """Caps per group and per label in it, by score; then groups by their score sum until total rows, skipping
-    groups that do not fit. Only one row per group reaches the driver's decision."""
+    groups that do not fit. Only one row per group streams by the driver, which holds the chosen ones, total at most."""
     kept = top_k(top_k(rows, [group, "label"], [F.desc("score"), "id"], per_label), [group], [F.desc("score"), "id"], per_group)
-    sums = kept.groupBy(group).agg(F.sum("score").alias("s"), F.count("*").alias("n")).orderBy(F.desc("s"), group)
+    # each chosen group takes a row or more, so total groups at most are chosen; a group of n rows can only be
+    # passed over while under n are left, so the scan ends when one is left for the smallest group
+    sums = kept.groupBy(group).agg(F.sum("score").alias("s"), F.count("*").alias("n"))
+    least = sums.agg(F.min("n")).first()[0] or 0
     left, chosen = total, []
-    for r in sums.toLocalIterator():
-        if left <= 0:
+    for r in sums.orderBy(F.desc("s"), group).toLocalIterator():
+        if left < least:
             break
         if r["n"] <= left:
-            chosen.append(r[group])
+            chosen.append((r[group],))
             left -= r["n"]
-    return kept.filter(F.col(group).isin(chosen)) if chosen else kept.limit(0)
+    picked = kept.sparkSession.createDataFrame(chosen, kept.select(group).schema)
+    return kept.join(F.broadcast(picked), group, "left_semi")
 
 
 def match_one_to_one(pairs: DataFrame, group: list[str]) -> DataFrame:
-    """Greedy matching of pairs (a, b, score) within groups: highest score first, each side once."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        pdf = pdf.sort_values(["score", "a", "b"], ascending=[False, True, True])
-        for i, (a, b) in enumerate(zip(pdf["a"], pdf["b"], strict=True)):
-            if a not in used_a and b not in used_b:
-                used_a.add(a)
-                used_b.add(b)
-                keep.append(i)
-        return pdf.iloc[keep]
-
-    return pairs.groupBy(*group).applyInPandas(work, pairs.schema)
+    """Greedy matching of pairs (a, b, score) within groups: highest score first, then a and b, each side once.
+
+    In each round the pairs that are the best of both their sides are taken, which greedy order would take too,
+    and all other pairs of these sides go; so a group of any size is spread over its sides."""
+    from . import graphs
+
+    worth = F.struct("score", (-F.col("a")).alias("a_"), (-F.col("b")).alias("b_"))
+    left, out = graphs.written(pairs.withColumn("worth", worth)), None
+    while not left.isEmpty():
+        best = lambda side: left.groupBy(*group, side).agg(F.max("worth").alias(f"top_{side}"))  # noqa: B023, E731
+        taken = left.join(best("a"), [*group, "a"]).join(best("b"), [*group, "b"]).filter((F.col("worth") == F.col("top_a")) & (F.col("worth") == F.col("top_b")))
+        taken = graphs.written(taken.select(*left.columns))
+        out = taken if out is None else out.union(taken)
+        left = left.join(taken.select(*group, "a"), [*group, "a"], "left_anti").join(taken.select(*group, "b"), [*group, "b"], "left_anti")
+        left = graphs.written(left.select(*taken.columns))
+    return (out if out is not None else left).select(*pairs.columns)
 
 
 def best_match(pairs: DataFrame) -> DataFrame:

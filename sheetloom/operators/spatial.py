@@ -85,15 +85,35 @@ def open_ends(segments: DataFrame, tol: float) -> DataFrame:
     return e.join(met, "pid", "left_anti").select("id", "end", "x", "y")
 
 
-def in_regions(segments: DataFrame, regions: DataFrame) -> DataFrame:
+#: Regions that are sent to every task at most; more of them meet the segments on the grid.
+MOST_REGIONS = 1000
+
+
+def in_regions(segments: DataFrame, regions: DataFrame, lasso: bool = False, cell: float = 100.0) -> DataFrame:
     """(name, id and the segment's columns) for segments whose midpoint lies in a region.
 
     regions has name and a rectangle lo_x, lo_y, hi_x, hi_y, or also points (a ring of structs x, y), which
-    then decides after the rectangle. Regions are a small query set and meet the segments by a range join."""
+    then decides after the rectangle; with lasso a segment that a side of the ring crosses counts as well. A few
+    regions, which are counted, meet the segments by a range join with a broadcast; more meet them on the grid."""
     mid = segments.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
     inside = (F.col("mx") >= F.col("lo_x")) & (F.col("mx") <= F.col("hi_x")) & (F.col("my") >= F.col("lo_y")) & (F.col("my") <= F.col("hi_y"))
-    out = mid.join(regions, inside)
-    return out.filter(g.point_in_ring(F.col("mx"), F.col("my"), F.col("points"))) if "points" in regions.columns else out
+    touch = (F.greatest("x0", "x1") >= F.col("lo_x")) & (F.least("x0", "x1") <= F.col("hi_x")) & (F.greatest("y0", "y1") >= F.col("lo_y")) & (F.least("y0", "y1") <= F.col("hi_y"))
+    if regions.limit(MOST_REGIONS + 1).count() <= MOST_REGIONS:
+        out = mid.join(F.broadcast(regions), touch if lasso else inside)
+    else:
+        box = with_envelope(segments) if lasso else mid.withColumns({"sx0": F.col("x0"), "sy0": F.col("y0"), "sx1": F.col("x1"), "sy1": F.col("y1"), "x0": F.col("mx"), "y0": F.col("my"), "x1": F.col("mx"), "y1": F.col("my")})
+        frame = regions.withColumns({"x0": F.col("lo_x"), "y0": F.col("lo_y"), "x1": F.col("hi_x"), "y1": F.col("hi_y")})
+        met = overlap_pairs(box, frame, cell)
+        met = met.select(*(F.col(f"s{c}" if c in ("x0", "y0", "x1", "y1") else c).alias(c) for c in segments.columns), *(F.col(f"r_{c}").alias(c) for c in regions.columns))
+        out = met.withColumns({"mx": (F.col("x0") + F.col("x1")) / 2, "my": (F.col("y0") + F.col("y1")) / 2})
+    if "points" not in regions.columns:
+        return out
+    keep = inside & g.point_in_ring(F.col("mx"), F.col("my"), F.col("points"))
+    if lasso:
+        n, ends = F.size("points"), [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+        after = lambda i: F.element_at("points", (i + 1) % n + 1)
+        keep = keep | F.exists(F.transform("points", lambda p, i: g.intersection(*ends, p["x"], p["y"], after(i)["x"], after(i)["y"]).isNotNull()), lambda x: x)
+    return out.filter(keep)
 
 
 def nearest(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
@@ -107,14 +127,32 @@ def nearest(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return pairs.groupBy("id").agg(F.min("best").alias("best")).select("id", "best.r_id", "best.d")
 
 
-def collinear_overlaps(segments: DataFrame, tol: float = 1e-6) -> DataFrame:
-    """(a, b, length) of axis-parallel segments a < b on one line whose spans overlap by more than tol."""
+#: Distances between lines that count as none: lines are told apart by their places on a grid of this width and the next one.
+LINE_GRID = 1e-6
+
+
+def collinear_overlaps(segments: DataFrame, tol: float = 1e-6, bucket: float = 32.0) -> DataFrame:
+    """(a, b, length) of axis-parallel segments a < b on one line whose spans overlap by more than tol.
+
+    Spans meet in the buckets of the line that they touch, at the bucket where their common part begins, so a
+    long line is dealt over its length and not gathered. Lines within tol of each other are one line."""
     dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
     flat = segments.withColumn("kind", F.when(dy <= tol, "h").when(dx <= tol, "v")).filter("kind is not null")
     h = F.col("kind") == "h"
-    line = flat.select("id", "kind", F.round(F.when(h, F.col("y0")).otherwise(F.col("x0")), 6).alias("line"), F.when(h, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("lo"), F.when(h, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("hi"))
-    other = line.select(F.col("id").alias("b"), "kind", "line", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    place = F.when(h, F.col("y0")).otherwise(F.col("x0"))
+    line = flat.select("id", "kind", place.alias("at"), F.when(h, F.least("x0", "x1")).otherwise(F.least("y0", "y1")).alias("lo"), F.when(h, F.greatest("x0", "x1")).otherwise(F.greatest("y0", "y1")).alias("hi"))
+    cells = lambda df, lo, hi: df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
+    left = cells(line.withColumn("line", F.floor(F.col("at") / LINE_GRID)), "lo", "hi")
+    near = F.explode(F.array(*(F.floor(F.col("at") / LINE_GRID) + k for k in (-1, 0, 1))))
+    right = cells(line.withColumn("line", near).select(F.col("id").alias("b"), "kind", "line", F.col("at").alias("at2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "lo2", "hi2")
     both = F.least("hi", "hi2") - F.greatest("lo", "lo2")
-    return line.join(other, ["kind", "line"]).filter((F.col("id") < F.col("b")) & (both > tol)).select(F.col("id").alias("a"), "b", both.alias("length"))
+    first = F.floor(F.greatest("lo", "lo2") / bucket) == F.col("cell")
+    out = left.join(right, ["kind", "line", "cell"]).filter((F.col("id") < F.col("b")) & (F.abs(F.col("at") - F.col("at2")) <= tol) & (both > tol) & first)
+    return out.select(F.col("id").alias("a"), "b", both.alias("length"))
 
 
+def overlap_exists(segments: DataFrame, probes: DataFrame) -> DataFrame:
+    """Those segments that overlap some probe span (id, x0 .. y1) on the same line."""
+    both = segments.select(F.struct(F.lit(0).alias("side"), "id").alias("id"), "x0", "y0", "x1", "y1").union(probes.select(F.struct(F.lit(1).alias("side"), "id").alias("id"), "x0", "y0", "x1", "y1"))
+    met = collinear_overlaps(both).filter("a.side <> b.side").select(F.when(F.col("a.side") == 0, F.col("a.id")).otherwise(F.col("b.id")).alias("id")).distinct()
+    return segments.join(met, "id", "left_semi")

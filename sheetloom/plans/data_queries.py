@@ -80,7 +80,9 @@ def ag_45_threshold_sweep(spark, d):
 
 @register("ag_37_percentiles", f"WITH {BOXES}, o AS (SELECT label, list(score ORDER BY score) AS s, count(*) AS n FROM boxes GROUP BY label), p AS (SELECT label, quantile_cont(score, 0.9) AS linear, avg(score) AS mean, min(score) AS lo, max(score) AS hi FROM boxes GROUP BY label) SELECT label, n, round(s[(round_even((n-1)*0.5, 0) + 1)::BIGINT], 6) AS p50, round(linear, 6) AS p90, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM o JOIN p USING (label)")
 def ag_37_percentiles(spark, d):
-    return boxes(spark, d).groupBy("label").agg(F.count("*").alias("n"), r6(metrics.nearest_rank("score", 0.5), "p50"), r6(F.percentile("score", 0.9), "p90"), r6(F.avg("score"), "mean"), r6(F.min("score"), "lo"), r6(F.max("score"), "hi"))
+    b = boxes(spark, d)
+    s = b.groupBy("label").agg(F.count("*").alias("n"), r6(F.percentile("score", 0.9), "p90"), r6(F.avg("score"), "mean"), r6(F.min("score"), "lo"), r6(F.max("score"), "hi"))
+    return s.join(metrics.nearest_rank(b, ["label"], "score", 0.5), "label").select("label", "n", r6("p", "p50"), "p90", "mean", "lo", "hi")
 
 
 @register("ag_42_coverage", "SELECT source, lang, count(*) AS n, sum(n_chars)::DOUBLE AS chars FROM documents GROUP BY GROUPING SETS ((source, lang), (source), ())")
@@ -106,9 +108,9 @@ def ag_61_compare(spark, d):
     return m.select("event_type", r6("base", "base"), r6("now", "now"), F.round(100 * change, 4).alias("change"), (change > 0.02).alias("slower"))
 
 
-@register("jn_39_full_outer", "SELECT coalesce(d.doc_id, l.doc_id) AS id, d.doc_id IS NULL AS extra, l.doc_id IS NULL AS missing FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+@register("jn_39_full_outer", "SELECT coalesce(d.doc_id, l.doc_id) AS id, d.doc_id IS NULL AS extra, l.doc_id IS NULL AS missing FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id")
 def jn_39_full_outer(spark, d):
-    a, b = read(spark, d, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("a")), read(spark, d, "labels").select(F.col("doc_id").alias("b"))
+    a, b = read(spark, d, "documents").select(F.col("doc_id").alias("a")), read(spark, d, "labels").select(F.col("doc_id").alias("b"))
     return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("id"), F.col("a").isNull().alias("extra"), F.col("b").isNull().alias("missing"))
 
 
@@ -232,9 +234,9 @@ def stm_07_breaker(spark, d):
     return service.breaker_states(e, "user_id", ["ts", "event_id"], 2, 3600.0)
 
 
-@register("stm_05_dirty_boxes", f"WITH RECURSIVE {BOXES}, b AS (SELECT * FROM boxes WHERE page = 1), e AS (SELECT a.id AS u, c.id AS v FROM b a JOIN b c ON a.id <> c.id AND a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1), r AS (SELECT id AS n, id AS c FROM b UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.n), g AS (SELECT n, min(c) AS c FROM r GROUP BY n) SELECT c AS component, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM g JOIN b ON b.id = n GROUP BY c")
+@register("stm_05_dirty_boxes", f"WITH RECURSIVE {BOXES}, b AS (SELECT * FROM boxes), e AS (SELECT a.id AS u, c.id AS v FROM b a JOIN b c ON a.page = c.page AND a.id <> c.id AND a.x0 <= c.x1 AND c.x0 <= a.x1 AND a.y0 <= c.y1 AND c.y0 <= a.y1), r AS (SELECT id AS n, id AS c FROM b UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.n), g AS (SELECT n, min(c) AS c FROM r GROUP BY n) SELECT page, c AS component, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM g JOIN b ON b.id = n GROUP BY page, c")
 def stm_05_dirty_boxes(spark, d):
-    return service.merged_dirty_boxes(boxes(spark, d).filter("page = 1"))
+    return service.merged_dirty_boxes(boxes(spark, d))
 
 
 @register("ml_04_backoff_table", f"WITH {JUDGED}, a AS (SELECT source, count(*) AS n, avg(gold)::DOUBLE AS p FROM judged GROUP BY source), b AS (SELECT avg(gold)::DOUBLE AS q FROM judged) SELECT source, n, round((p * n + 10 * q) / (n + 10), 6) AS precision FROM a, b")

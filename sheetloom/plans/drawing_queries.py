@@ -34,7 +34,7 @@ def jn_17_connectable(spark, d):
     return drawing.gap_candidates(segments(spark, d), 20.0, 0.95).select("a", "ea", "b", "eb", r6("d", "d"))
 
 
-@register("gr_20_gap_fill", f"WITH {SEGMENTS}, {ENDS}, q AS (SELECT * FROM p WHERE d <= 12), s AS (SELECT a AS c, * FROM q UNION ALL SELECT b, * FROM q), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY d, a, ea, b, eb) AS k FROM s) SELECT DISTINCT a, ea, b, eb, round(d, 6) AS d FROM r WHERE k = 1")
+@register("gr_20_gap_fill")
 def gr_20_gap_fill(spark, d):
     return drawing.fill_gaps(segments(spark, d), 12.0).select("a", "ea", "b", "eb", r6("d", "d"))
 
@@ -133,9 +133,9 @@ def ra_01_otsu(spark, d):
     return raster.otsu(_images(spark, d))
 
 
-@register("gr_04_ink_components", f"WITH RECURSIVE {GREY}, g AS (SELECT image, k // 8 AS r, k % 8 AS c, k FROM px WHERE v >= 150 AND image < 60), e AS (SELECT a.image, a.k AS u, b.k AS w FROM g a JOIN g b ON a.image = b.image AND abs(a.r-b.r)+abs(a.c-b.c) = 1), t AS (SELECT image, k, k AS m FROM g UNION SELECT e.image, e.w, t.m FROM t JOIN e ON e.image = t.image AND e.u = t.k), m AS (SELECT image, k, min(m) AS m FROM t GROUP BY ALL) SELECT image, count(*) AS n, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1 FROM m JOIN g USING (image, k) GROUP BY image, m")
+@register("gr_04_ink_components", f"WITH RECURSIVE {GREY}, g AS (SELECT image, k // 8 AS r, k % 8 AS c, k FROM px WHERE v >= 150), e AS (SELECT a.image, a.k AS u, b.k AS w FROM g a JOIN g b ON a.image = b.image AND abs(a.r-b.r)+abs(a.c-b.c) = 1), t AS (SELECT image, k, k AS m FROM g UNION SELECT e.image, e.w, t.m FROM t JOIN e ON e.image = t.image AND e.u = t.k), m AS (SELECT image, k, min(m) AS m FROM t GROUP BY ALL) SELECT image, count(*) AS n, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1 FROM m JOIN g USING (image, k) GROUP BY image, m")
 def gr_04_ink_components(spark, d):
-    return raster.ink_components(_images(spark, d).filter("image < 60"), 8, 150).select("image", "n", "r0", "c0", "r1", "c1")
+    return raster.ink_components(_images(spark, d), 8, 150).select("image", "n", "r0", "c0", "r1", "c1")
 
 
 @register("ml_01_logistic")

@@ -65,13 +65,10 @@ def ag_41_split_audit(spark, d):
     return read(spark, d, "documents").groupBy((F.col("doc_id") % 3).alias("split")).agg(F.count("*").alias("records"), F.count_if(F.length(F.trim(text)) > 0).alias("with_text"), F.sum(F.size(F.split(text, "\n"))).cast("long").alias("items"))
 
 
-@register("ag_52_rmse", f"WITH {SEGMENTS}, p AS (SELECT layer, x0, x1, row_number() OVER (PARTITION BY layer ORDER BY id) AS i FROM segments) SELECT layer, round(sqrt(avg((x0-x1)*(x0-x1))), 6) AS rmse FROM p WHERE i <= 20 GROUP BY layer")
+@register("ag_52_rmse", f"WITH {SEGMENTS}, p AS (SELECT layer, x0, x1 FROM segments) SELECT layer, round(sqrt(avg((x0-x1)*(x0-x1))), 6) AS rmse FROM p GROUP BY layer")
 def ag_52_rmse(spark, d):
-    from pyspark.sql import Window as W
-
-    p = segments(spark, d).withColumn("i", F.row_number().over(W.partitionBy("layer").orderBy("id"))).filter("i <= 20")
     e = F.col("x0") - F.col("x1")
-    return p.groupBy("layer").agg(r6(F.sqrt(F.avg(e * e)), "rmse"))
+    return segments(spark, d).groupBy("layer").agg(r6(F.sqrt(F.avg(e * e)), "rmse"))
 
 
 @register("ag_11_region_compare", f"WITH {SEGMENTS}, a AS (SELECT layer, sum({LEN}) AS total FROM segments GROUP BY layer) SELECT a.layer AS a, b.layer AS b, round(b.total - a.total, 4) AS diff, round(b.total / a.total, 6) AS ratio FROM a JOIN a b ON a.layer < b.layer")

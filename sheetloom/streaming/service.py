@@ -77,10 +77,18 @@ def breaker_stream(events: DataFrame, key: str, ts: str, limit: int, rest: float
     return rows.groupBy(key).applyInPandasWithState(step, schema, "state string, failures int, since double", "append", "NoTimeout")
 
 
-def merged_dirty_boxes(boxes: DataFrame) -> DataFrame:
-    """(component, x0, y0, x1, y1, n): envelopes of boxes that touch each other, directly or by steps."""
-    b = boxes.select("id", "x0", "y0", "x1", "y1")
-    edges = spatial.overlap_pairs(b, b).filter("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
+def merged_dirty_boxes(boxes: DataFrame, page: str = "page", most: int | None = None) -> DataFrame:
+    """(page, component, x0, y0, x1, y1, n): envelopes of a page's boxes that touch each other, directly or by steps.
+
+    A page with more than most envelopes is given as one."""
+    b = boxes.select(F.col(page).alias("page"), "id", "x0", "y0", "x1", "y1")
+    edges = spatial.overlap_pairs(b, b).filter("page = r_page and id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
     comps = graphs.components(edges)
     named = b.join(comps, b["id"] == comps["node"], "left").withColumn("component", F.coalesce("component", "id"))
-    return named.groupBy("component").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n"))
+    merge = lambda df, n: df.groupBy("page", "component").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum(n).alias("n"))
+    out = merge(named, F.lit(1))
+    if most is not None:
+        count = out.groupBy("page").agg(F.count("*").alias("parts"), F.min("component").alias("first"))
+        many = out.join(count, "page").withColumn("component", F.when(F.col("parts") > most, F.col("first")).otherwise(F.col("component")))
+        out = merge(many, F.col("n"))
+    return out.withColumnRenamed("page", page)
