@@ -40,16 +40,16 @@ def overlap_pairs(left: DataFrame, right: DataFrame, cell: float = 100.0, pad: f
     r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     r = r.withColumns({"r_x0": F.col("r_x0") - pad, "r_y0": F.col("r_y0") - pad, "r_x1": F.col("r_x1") + pad, "r_y1": F.col("r_y1") + pad})
     side = F.greatest(F.col("r_x1") - F.col("r_x0"), F.col("r_y1") - F.col("r_y0"), F.lit(cell))
-    r = r.withColumn("level", F.least(F.lit(LEVELS), F.ceil(F.log2(side / cell))).cast("int"))
-    levels = sorted(x[0] for x in r.select("level").distinct().collect())
+    r = r.withColumn("level__", F.least(F.lit(LEVELS), F.ceil(F.log2(side / cell))).cast("int"))
+    levels = sorted(x[0] for x in r.select("level__").distinct().collect())
     size = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
     span = lambda lo, hi, level: F.sequence(F.floor(lo / size(level)), F.floor(hi / size(level)))
-    r = r.withColumn("cx", F.explode(span(F.col("r_x0"), F.col("r_x1"), F.col("level")))).withColumn("cy", F.explode(span(F.col("r_y0"), F.col("r_y1"), F.col("level"))))
-    l = left.withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    l = l.withColumn("cx", F.explode(span(F.col("x0"), F.col("x1"), F.col("level")))).withColumn("cy", F.explode(span(F.col("y0"), F.col("y1"), F.col("level"))))
+    r = r.withColumn("cell_x__", F.explode(span(F.col("r_x0"), F.col("r_x1"), F.col("level__")))).withColumn("cell_y__", F.explode(span(F.col("r_y0"), F.col("r_y1"), F.col("level__"))))
+    l = left.withColumn("level__", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    l = l.withColumn("cell_x__", F.explode(span(F.col("x0"), F.col("x1"), F.col("level__")))).withColumn("cell_y__", F.explode(span(F.col("y0"), F.col("y1"), F.col("level__"))))
     meet = (F.col("x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("x1")) & (F.col("y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("y1"))
-    once = (F.floor(F.greatest("x0", "r_x0") / size(F.col("level"))) == F.col("cx")) & (F.floor(F.greatest("y0", "r_y0") / size(F.col("level"))) == F.col("cy"))
-    out = l.join(r, ["level", "cx", "cy"]).filter(meet & once).drop("level", "cx", "cy")
+    once = (F.floor(F.greatest("x0", "r_x0") / size(F.col("level__"))) == F.col("cell_x__")) & (F.floor(F.greatest("y0", "r_y0") / size(F.col("level__"))) == F.col("cell_y__"))
+    out = l.join(r, ["level__", "cell_x__", "cell_y__"]).filter(meet & once).drop("level__", "cell_x__", "cell_y__")
     return out.withColumns({"r_x0": F.col("r_x0") + pad, "r_y0": F.col("r_y0") + pad, "r_x1": F.col("r_x1") - pad, "r_y1": F.col("r_y1") - pad}) if pad else out
 
 

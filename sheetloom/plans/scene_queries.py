@@ -79,7 +79,7 @@ def val_04_micro_features(spark, d):
     return validation.check_micro_features(_rings(spark, d), 1.0, 10.0)
 
 
-@register("val_05_convexity", f"WITH {BOXES} SELECT page AS drawing, id AS ring_id, 'W004' AS code, 'warning' AS severity, 'convexity' AS rule FROM boxes WHERE id % 6 IN (1, 3) UNION ALL SELECT page, id, 'E005', 'error', 'indentation' FROM boxes WHERE id % 6 = 3")
+@register("val_05_convexity", f"WITH {BOXES} SELECT page AS drawing, id AS ring_id, 'W004' AS code, 'warning' AS severity, 'convexity' AS rule FROM boxes WHERE id % 6 = 1 UNION ALL SELECT page, id, 'E005', 'error', 'indentation' FROM boxes WHERE id % 6 = 3")
 def val_05_convexity(spark, d):
     return validation.check_convexity(_rings(spark, d))
 
