@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,21 +26,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Held:
-    """Tables kept in the executors' memory, or on their disks, while a step reads them more than once; lost parts are computed again."""
-
-    def __init__(self) -> None:
-        self.tables: list[DataFrame] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        self.tables.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
-    def drop(self) -> None:
-        while self.tables:
-            self.tables.pop().unpersist()
-
-
 def slices(batches: Iterator[pa.RecordBatch], text_col: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of bounded rows and, but for single rows, of most bytes of text."""
     for batch in batches:
@@ -96,7 +80,7 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str)
     """rows joined with table, which has each combination of keys once and in weight the number of rows it meets.
 
     The few hot keys, under HOT_SHARE of them, go to every task, where their rows stay; all others are
-    joined by key. Both sides should be written or held, as they are read more than once. weight is dropped."""
+    joined by key. Both sides must be materialised, as they are read more than once. weight is dropped."""
     total = table.agg(F.sum(weight)).first()[0] or 0
     often = max(HOT_ROWS, total // HOT_SHARE)
     hot = table.filter(F.col(weight) > often).drop(weight)
@@ -104,3 +88,15 @@ def split_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str)
     first = rows.join(F.broadcast(hot), keys)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return first.unionByName(rest)
+
+
+#: Tasks that the rows of one key are dealt over where a small table joins a large one.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows joined with table, which has each combination of keys once, is far smaller and comes SALTS times, once for each
+    part of the rows of a key; by tells the rows of a key apart."""
+    salt = fresh(rows, "salt")[0]
+    many = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [*keys, salt]).drop(salt)
