@@ -142,3 +142,67 @@ def gr_04_ink_components(spark, d):
 def ml_01_logistic(spark, d):
     rows, _ = models.standardised(judged(spark, d).withColumn("size", F.log1p(F.col("score"))), ["size", "score"])
     return models.score_logistic(rows, ["size", "score"], models.fit_logistic(rows, ["size", "score"], "gold")).select("id", "gold", "score")
+
+
+@register("ra_02_threshold", f"WITH {GREY} SELECT image, count_if(v > 150) AS ink, count_if(NOT v > 150) AS paper FROM px GROUP BY image")
+def ra_02_threshold(spark, d):
+    n = lambda inverse: raster.threshold(_images(spark, d), 150, inverse).select("image", F.size(F.filter("grey", lambda v: v == 255)).cast("long").alias("paper" if inverse else "ink"))
+    return n(False).join(n(True), "image")
+
+
+@register("ra_13_median", f"WITH {GREY}, g AS (SELECT image, k // 8 AS r, k % 8 AS c, v FROM px), w AS (SELECT a.image, a.r, a.c, quantile_cont(b.v, 0.5) AS m FROM g a, (SELECT unnest([-1,0,1]) AS dr) x, (SELECT unnest([-1,0,1]) AS dc) y, g b WHERE b.image = a.image AND b.r = greatest(0, least(7, a.r + dr)) AND b.c = greatest(0, least(7, a.c + dc)) GROUP BY ALL) SELECT image, sum(m)::BIGINT AS total FROM w GROUP BY image")
+def ra_13_median(spark, d):
+    m = raster.median_filter(_images(spark, d), 8)
+    return m.select("image", F.aggregate("grey", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@register("ra_32_crops", f"WITH {GREY}, g AS (SELECT image, k // 8 AS r, k % 8 AS c, v FROM px) SELECT image, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation FROM g WHERE r BETWEEN 1 AND 4 AND c BETWEEN 2 AND 6 GROUP BY image")
+def ra_32_crops(spark, d):
+    i = _images(spark, d)
+    crops = i.select("image", F.lit(1).alias("crop"), F.lit(1).alias("r0"), F.lit(2).alias("c0"), F.lit(5).alias("r1"), F.lit(7).alias("c1"))
+    return raster.crop_statistics(i, crops, 8).select("image", "n", r6("mean", "mean"), r6("deviation", "deviation"))
+
+
+@register("wn_15_peaks", f"WITH {GREY}, g AS (SELECT image, k // 8 AS r, k % 8 AS c, v FROM px) SELECT a.image, a.r::INT AS r, a.c::INT AS c, a.v::DOUBLE AS score FROM g a WHERE a.v > 170 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.image = a.image AND abs(b.r-a.r) <= 1 AND abs(b.c-a.c) <= 1 AND b.v > a.v)")
+def wn_15_peaks(spark, d):
+    return raster.peak_boxes(_images(spark, d), 8, 170, 1, 4.0).select("image", "r", "c", "score")
+
+
+@register("ra_07_skeleton")
+def ra_07_skeleton(spark, d):
+    return raster.skeleton(_images(spark, d), 8, 150)
+
+
+@register("ra_11_junctions")
+def ra_11_junctions(spark, d):
+    return raster.junctions(raster.without_spurs(raster.skeleton(_images(spark, d), 8, 150, "guo_hall"), 8, 3), 8)
+
+
+@register("ra_34_mask_boxes")
+def ra_34_mask_boxes(spark, d):
+    return raster.mask_boxes(_images(spark, d), 8, 150, (2, 40), (1, 8), 3)
+
+
+@register("prj_13_bulges", f"WITH {SEGMENTS}, b AS (SELECT id, x0, y0, x1, y1, (id % 5 - 2) * 0.25 AS bulge, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS n FROM segments), r AS (SELECT *, n/2/abs(sin(2*atan(bulge))) AS r FROM b WHERE bulge <> 0), k AS (SELECT id, greatest(1, ceil(abs(4*atan(bulge)) / (2*acos(greatest(-1, 1 - 0.5/greatest(r, 0.5))))))::INT + 1 AS points FROM r) SELECT b.id, coalesce(points, 2) AS points FROM b LEFT JOIN k USING (id)")
+def prj_13_bulges(spark, d):
+    from ..functions import curves
+
+    p = curves.bulge_points(*map(F.col, ("x0", "y0", "x1", "y1")), (F.col("id") % 5 - 2) * 0.25, 0.5)
+    return segments(spark, d).select("id", F.size(p).alias("points"))
+
+
+@register("prj_14_ellipses", f"WITH {BOXES}, e AS (SELECT id, x0, y0, (x1-x0)/2 AS a, 0.5*(x1-x0)/2 AS b FROM boxes), k AS (SELECT *, greatest(8, ceil((a+b)/2*radians(270)/(2*sqrt(2*0.5*(a+b)/2))))::INT AS k FROM e), i AS (SELECT *, unnest(range(k+1)) AS i FROM k) SELECT id, i::INT AS i, round(x0 + a*cos(radians(270)*i/k), 4) AS x, round(y0 + b*sin(radians(270)*i/k), 4) AS y FROM i")
+def prj_14_ellipses(spark, d):
+    from ..functions import curves
+
+    p = curves.ellipse_points(F.col("x0"), F.col("y0"), (F.col("x1") - F.col("x0")) / 2, F.lit(0.0), F.lit(0.5), F.lit(0.0), F.lit(270.0), 0.5)
+    return boxes(spark, d).select("id", F.posexplode(p).alias("i", "p")).select("id", "i", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+@register("prj_15_splines")
+def prj_15_splines(spark, d):
+    from ..functions import curves
+
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    c = boxes(spark, d).select("id", F.lit(2).alias("degree"), F.array(*(F.lit(v) for v in (0.0, 0.0, 0.0, 0.5, 1.0, 1.0, 1.0))).alias("knots"), F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1")).alias("points"), F.lit(None).cast("array<double>").alias("weights"))
+    return curves.spline_points(c, 0.5)
