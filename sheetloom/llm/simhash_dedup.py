@@ -8,8 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from .common import ddl_type, fresh, map_rows, materialise, split_join, spread
-from .components import connected_components
 
 SEED = 42
 SHINGLE = 3
@@ -112,7 +112,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, fp, component_id) for each row."""
     fps = materialise(fingerprints(docs, id_col, text_col))
     distinct = materialise(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("rows")))
-    comps = connected_components(near_links(spread(distinct.select("fp"), "fp"))).select(F.col("node").alias("fp"), "component")
+    comps = components(near_links(spread(distinct.select("fp"), "fp"))).select(F.col("node").alias("fp"), "component")
     named = distinct.join(comps, "fp")
     names = named.join(named.groupBy("component").agg(F.min("first").alias("name")), "component").select("fp", "name")
     labels = materialise(distinct.join(names, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id"), "rows"))
