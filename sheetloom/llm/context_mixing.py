@@ -345,7 +345,9 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
 
     score is the mixing model's log10 probability of the whole text as words and an end; base_score that
     of add-one word counts. Both learn from all of training. A null text is an end alone; null ids and
-    repeated rows each come back. The counts of the hot_words commonest words go to every task; those of
+    repeated rows each come back; very long texts are scored whole; other columns are not read; empty tables
+    give empty results, and without training every bit has even odds. Tasks learn the mixing weights over their own
+    rows, so scores depend a little on how the training table is dealt. The counts of the hot_words commonest words go to every task; those of
     all other words meet their documents in a join, so no word gathers a large group."""
     spark = docs.sparkSession
     counts = materialise(word_counts(training, text_col))

@@ -90,7 +90,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """Tokenise whole texts, append end_id and cut at each full window: (id, start, length, ids, doc_tokens).
 
     ids is the piece as little-endian unsigned 32-bit integers. Every id lies in one piece. Null and empty
-    texts are the end id alone; repeated rows are cut each on its own; null ids are kept."""
+    texts are the end id alone; very long texts are read whole and become many pieces; repeated rows are cut each
+    on its own; null ids are kept; other columns are not read; an empty table gives an empty result."""
 
     def work(batches):
         end = np.array([end_id], "<u4").tobytes()
@@ -159,7 +160,9 @@ def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     Pieces are dealt by a hash of id and start to tasks, sorted there from long to short, and each goes
     into the tightest open window that holds it, else into a new one. Full windows meet no open window.
     The dealing spreads one long document over all tasks. A task holds its open windows only. The sort
-    names id and start last, so a task that runs again gives the same sequences."""
+    names id and start last, so a task that runs again gives the same sequences; pieces that agree in all three
+    are rows repeated, and any of them may come first. Null ids are dealt like others; an empty table gives an
+    empty result."""
 
     def work(batches):
         from pyspark import TaskContext

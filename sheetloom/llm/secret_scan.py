@@ -108,7 +108,9 @@ def _span_column(texts: pa.Array) -> pa.Array:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, spans) for each row: code-point spans of every secret in the whole text, end exclusive.
 
-    A null or empty text has no spans. Null ids and repeated rows come back as they are. Nothing is shuffled."""
+    A null or empty text has no spans; very long texts are read whole. Spans that begin together come in the
+    order of their kinds. Null ids and repeated rows come back as they are; other columns are not read; an
+    empty table gives an empty result. Nothing is shuffled."""
 
     def work(batches):
         for b in batches:
@@ -131,7 +133,8 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret span of text_col replaced by mark; all rows and columns stay."""
+    """docs with every secret span of text_col replaced by mark; all rows and columns stay, whatever their names; null and
+    empty texts stay as they are, and an empty table stays empty."""
     names = docs.columns
     at = names.index(text_col)
 

@@ -388,3 +388,16 @@ def test_pipeline_matches_stages(spark, sf, docs):
     bad = brute_hits([(i, docs[i].text) for i in stay], [(str(r.item_id), r.text) for r in read(spark, sf, "benchmark").collect()])
     assert got == {i for i in stay if not bad[i][4]}
     assert len(stay) >= 0.7 * len(docs)
+
+
+def test_stages_take_odd_rows(spark, odd, sf):
+    """Every stage over nulls, empty and long texts, repeated rows, clashing names and an empty table."""
+    import corpus_pipeline
+
+    for rows in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, sf)
+            assert out.columns == rows.columns
+            texts = [r.text for r in out.collect()]
+            assert len(texts) <= 8 and (rows is odd or not texts)
+        assert corpus_pipeline.packing(spark, rows, sf).filter("start = 0").count() == rows.count()
