@@ -131,3 +131,79 @@ def read_stl(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(list(part), pa.list_(pa.float64()))], names=["path", "facet", "corners"])
 
     return f.mapInArrow(work, "path string, facet bigint, corners array<double>")
+
+
+#: DXF release codes.
+DXF_RELEASES = {"AC1009": "R12", "AC1012": "R13", "AC1014": "R14", "AC1015": "2000", "AC1018": "2004", "AC1021": "2007", "AC1024": "2010", "AC1027": "2013", "AC1032": "2018"}
+
+
+def dxf_release(head: Column) -> tuple[Column, Column]:
+    """Release by the first six characters, and the trust in it: 1 for a known code, 0.3 for another, 0 for less than six."""
+    known = F.create_map(*(F.lit(x) for kv in DXF_RELEASES.items() for x in kv))[F.substring(head, 1, 6)]
+    short = F.length(F.coalesce(head, F.lit(""))) < 6
+    return F.coalesce(F.when(~short, known), F.lit("unknown")), F.when(short, 0.0).when(known.isNotNull(), 1.0).otherwise(0.3)
+
+
+def read_dxf_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, release, trust, status): every file below path, binary DXF as rejected and text DXF as read."""
+    head = F.decode(F.substring("content", 1, 22), "ISO-8859-1")
+    f = spark.read.format("binaryFile").load(path).select("path", head.alias("head"), F.decode("content", "ISO-8859-1").alias("text"))
+    code = F.regexp_extract("text", r"\$ACADVER\s+1\s+(\S+)", 1)
+    release, trust = dxf_release(code)
+    binary = F.startswith("head", F.lit(BINARY_DXF))
+    return f.select("path", F.when(binary, "unknown").otherwise(release).alias("release"), F.when(binary, 0.0).otherwise(trust).alias("trust"), F.when(binary, "rejected").otherwise("read").alias("status"))
+
+
+def dxf_report(entities: DataFrame) -> DataFrame:
+    """(path, entity_type, layer, n, unit): counts of a drawing's entities by type and layer."""
+    return entities.groupBy("path", "entity_type", "layer").agg(F.count("*").alias("n"), F.first("unit").alias("unit"))
+
+
+def kept_entities(entities: DataFrame, types: list[str] | None = None, texts: bool = True, dimensions: bool = True, hatches: bool = True) -> DataFrame:
+    """Entities of the named types, without texts, dimensions or hatches where these are not wanted."""
+    kind, ok = F.col("entity_type"), F.lit(True)
+    if types:
+        ok = ok & kind.isin(types)
+    for wanted, names in ((texts, ["TEXT", "MTEXT", "ATTRIB", "ATTDEF"]), (dimensions, ["DIMENSION"]), (hatches, ["HATCH"])):
+        ok = ok if wanted else ok & ~kind.isin(names)
+    return entities.filter(ok)
+
+
+def split_entities(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities that can be drawn, and the others with the issue: no points, a number that is none, or no radius."""
+    bad = F.exists("points", lambda p: p["x"].isNull() | p["y"].isNull() | F.isnan(p["x"]) | F.isnan(p["y"]))
+    round_ = F.col("entity_type").isin("CIRCLE", "ARC") & ~F.coalesce(F.col("radius") > 0, F.lit(False))
+    issue = F.when(F.col("entity_type").isin("LINE", "LWPOLYLINE", "CIRCLE", "ARC") & (F.size("points") == 0), "no_points").when(bad, "bad_number").when(round_, "no_radius")
+    marked = entities.withColumn("issue", issue)
+    return marked.filter("issue is null").drop("issue"), marked.filter("issue is not null")
+
+
+def text_annotations(entities: DataFrame) -> DataFrame:
+    """(path, ord, layer, x, y, height, content): texts of a drawing without their codes."""
+    from ..functions.text import plain_mtext
+
+    p = F.try_element_at("points", F.lit(1))
+    return entities.filter(F.col("entity_type").isin("TEXT", "MTEXT")).select("path", "ord", "layer", p["x"].alias("x"), p["y"].alias("y"), F.col("radius").alias("height"), plain_mtext(F.col("text")).alias("content"))
+
+
+def allowed_files(files: DataFrame, kinds: list[str]) -> DataFrame:
+    """Files whose kind is in kinds."""
+    return files.filter(F.col("kind").isin(kinds))
+
+
+#: Names of the octave bands in material tables.
+BAND_NAMES = {"125": 125, "125_hz": 125, "hz125": 125, "250": 250, "250_hz": 250, "hz250": 250, "500": 500, "500_hz": 500, "hz500": 500, "1000": 1000, "1k": 1000, "1k_hz": 1000, "hz1k": 1000, "2000": 2000, "2k": 2000, "2k_hz": 2000, "hz2k": 2000, "4000": 4000, "4k": 4000, "4k_hz": 4000, "hz4k": 4000}
+
+
+def read_materials(spark: SparkSession, path: str) -> DataFrame:
+    """(name, band, alpha) of a TOML table of materials, a small file; a name in brackets after the name is a second name."""
+    import re
+    import tomllib
+
+    rows = []
+    for r in spark.read.text(path, wholetext=True).collect():
+        for m in tomllib.loads(r["value"]).get("materials", []):
+            other = re.search(r"\(([^)]*)", m["name"])
+            for name in {m["name"].lower(), *([other[1].lower()] if other else [])}:
+                rows += [(name, BAND_NAMES[k.lower()], float(v)) for k, v in m["absorption_coeffs"].items()]
+    return spark.createDataFrame(rows, "name string, band int, alpha double")

@@ -51,3 +51,36 @@ def dxf_lines(edges: DataFrame) -> DataFrame:
 def write_text(lines: DataFrame, path: str) -> None:
     """(path, ord, line) as one folder of text for each drawing, sorted within it."""
     lines.repartition("path").sortWithinPartitions("path", "ord").select(F.xxhash64("path").alias("drawing"), F.col("line").alias("value")).write.mode("overwrite").partitionBy("drawing").text(path)
+
+
+#: Version of the scene documents.
+SCENE_VERSION = "1.0"
+
+
+def scene_documents(rings: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(drawing, document): one JSON text for each drawing with its version, outer ring, holes and boundaries. A drawing is one row."""
+    outer = rings.filter("role = 'outer'").groupBy("drawing").agg(F.min_by("points", "ring_id").alias("outer"))
+    holes = rings.filter("role = 'hole'").groupBy("drawing").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring_id", "points"))), lambda h: h["points"]).alias("holes"))
+    sides = boundaries.groupBy("drawing").agg(F.array_sort(F.collect_list(F.struct(*[c for c in boundaries.columns if c != "drawing"]))).alias("boundaries"))
+    j = outer.join(holes, "drawing", "full").join(sides, "drawing", "left")
+    return j.select("drawing", F.to_json(F.struct(F.lit(SCENE_VERSION).alias("version"), "outer", "holes", "boundaries")).alias("document"))
+
+
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, ord, line): GraphML text of each graph's nodes (path, id, x, y) and edges (path, source, target, kind)."""
+    names = nodes.select("path").distinct()
+    at = lambda df, ord_, line: df.select("path", ord_.cast("bigint").alias("ord"), line.alias("line"))
+    keys = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="x" for="node" attr.name="x" attr.type="double"/>\n<key id="y" for="node" attr.name="y" attr.type="double"/>\n<key id="kind" for="edge" attr.name="kind" attr.type="string"/>\n<graph edgedefault="undirected">'
+    data = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), xml_escape(F.col(c).cast("string")), F.lit("</data>"))
+    quoted = lambda c: xml_escape(F.col(c).cast("string"))
+    node = F.concat(F.lit('<node id="'), quoted("id"), F.lit('">'), data("x", "x"), data("y", "y"), F.lit("</node>"))
+    edge = F.concat(F.lit('<edge source="'), quoted("source"), F.lit('" target="'), quoted("target"), F.lit('">'), data("kind", "kind"), F.lit("</edge>"))
+    return at(names, F.lit(-1), F.lit(keys)).union(at(nodes, F.lit(0), node)).union(at(edges, F.lit(1), edge)).union(at(names, F.lit(2), F.lit("</graph>\n</graphml>")))
+
+
+def markdown_table(df: DataFrame) -> str:
+    """An aggregate of few rows as a Markdown table."""
+    rows = df.collect()
+    cell = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    line = lambda values: "| " + " | ".join(values) + " |"
+    return "\n".join([line(df.columns), line(["-"] * len(df.columns)), *(line([cell(v) for v in r]) for r in rows)])
