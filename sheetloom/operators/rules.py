@@ -203,3 +203,34 @@ def gap_class(length: Column, ax: Column, ay: Column, bx: Column, by: Column) ->
 def flat_or_solid(low_z: Column, high_z: Column) -> Column:
     """True for an entity whose heights differ."""
     return F.abs(high_z - low_z) > 1e-6
+
+
+def gate_report(rows: DataFrame) -> DataFrame:
+    """(family, decision, reason, n) of gated rows (family, decision, reasons), a row with several reasons counting for each."""
+    return rows.select("family", "decision", F.explode_outer("reasons").alias("reason")).groupBy("family", "decision", "reason").agg(F.count("*").alias("n"))
+
+
+def named_by(rows: DataFrame, table: dict[str, list[str]], label: str, name: str) -> DataFrame:
+    """rows with name, the key of table whose list holds the row's label; null for labels that no list has."""
+    flat = {v: k for k, own in table.items() for v in own}
+    return rows.withColumn(name, F.create_map(*(F.lit(x) for kv in flat.items() for x in kv))[F.col(label)])
+
+
+def parameter_problems(values: Column, schema: dict[str, tuple]) -> Column:
+    """Names of the parameters of a map of texts that break their rule: ("number", least, most) or ("choice", values); a missing
+    one breaks its rule too."""
+    checks = []
+    for name, (kind, *rest) in schema.items():
+        v = F.try_element_at(values, F.lit(name))
+        ok = v.try_cast("double").between(*rest) if kind == "number" else v.isin(*rest[0])
+        checks.append(F.when(~F.coalesce(ok, F.lit(False)), name))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+
+
+def constraint_residuals(constraints: DataFrame, points: DataFrame) -> DataFrame:
+    """(sketch, n, residual, worst) of constraints (sketch, kind, a, b, value) over points (id, x, y): how far distances, and
+    levels of horizontal and vertical pairs, are from what they should be."""
+    at = lambda s: points.select(F.col("id").alias(s), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+    j = constraints.join(at("a"), "a").join(at("b"), "b")
+    off = F.when(F.col("kind") == "distance", F.abs(g.distance(*map(F.col, ("ax", "ay", "bx", "by"))) - F.col("value"))).when(F.col("kind") == "horizontal", F.abs(F.col("ay") - F.col("by"))).when(F.col("kind") == "vertical", F.abs(F.col("ax") - F.col("bx")))
+    return j.groupBy("sketch").agg(F.count("*").alias("n"), F.sum(off * off).alias("residual"), F.max(off).alias("worst"))

@@ -228,3 +228,49 @@ def ml_17_mask_scores(spark, d):
     o = evaluation.mask_objectness(p)
     w = evaluation.weighted_mask_iou(F.transform(p, lambda x: x > 0.05), F.array(F.lit(True), F.lit(False), F.lit(True)), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
     return boxes(spark, d).select("id", r6(o, "objectness"), r6(w, "weighted_iou"), r6(F.col("score") * o * 0.5, "deployed"))
+
+
+@register("flt_21_gate_report", f"WITH {BOXES}, g AS (SELECT label AS family, CASE WHEN score > 0.1 THEN 'pass' ELSE 'hold' END AS decision, list_filter([CASE WHEN score <= 0.1 THEN 'low' END, CASE WHEN x1-x0 > 60 THEN 'wide' END], lambda x: x IS NOT NULL) AS r FROM boxes), e AS (SELECT family, decision, unnest(r) AS reason FROM g UNION ALL SELECT family, decision, NULL FROM g WHERE len(r) = 0) SELECT family, decision, reason, count(*) AS n FROM e GROUP BY ALL")
+def flt_21_gate_report(spark, d):
+    reasons = F.filter(F.array(F.when(F.col("score") <= 0.1, "low"), F.when(F.col("x1") - F.col("x0") > 60, "wide")), lambda x: x.isNotNull())
+    return rules.gate_report(boxes(spark, d).select(F.col("label").alias("family"), F.when(F.col("score") > 0.1, "pass").otherwise("hold").alias("decision"), reasons.alias("reasons")))
+
+
+@register("sf_18_ontology", "SELECT p_partkey, CASE WHEN p_size % 5 IN (0, 1) THEN 'boundary' WHEN p_size % 5 = 2 THEN 'space' WHEN p_size % 5 = 3 THEN 'symbol' END AS family FROM part")
+def sf_18_ontology(spark, d):
+    names = F.element_at(F.array(*map(F.lit, ["wall", "door", "room", "sink", "blob"])), (F.col("p_size") % 5 + 1).cast("int"))
+    return rules.named_by(read(spark, d, "part").select("p_partkey", names.alias("label")), {"boundary": ["wall", "door"], "space": ["room"], "symbol": ["sink"]}, "label", "family").select("p_partkey", "family")
+
+
+@register("sf_17_parameters", "SELECT p_partkey, concat_ws(',', CASE WHEN p_size NOT BETWEEN 5 AND 40 THEN 'size' END, CASE WHEN p_partkey % 3 = 0 THEN 'kind' END, 'gone') AS broken FROM part")
+def sf_17_parameters(spark, d):
+    values = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("kind"), F.element_at(F.array(F.lit("x"), F.lit("arc"), F.lit("line")), (F.col("p_partkey") % 3 + 1).cast("int")))
+    broken = rules.parameter_problems(values, {"size": ("number", 5, 40), "kind": ("choice", ["arc", "line"]), "gone": ("number", 0, 1)})
+    return read(spark, d, "part").select("p_partkey", F.array_join(broken, ",").alias("broken"))
+
+
+@register("gr_34_residuals", f"WITH {SEGMENTS}, c AS (SELECT id % 20 AS sketch, ['distance','horizontal','vertical'][id % 3 + 1] AS kind, id AS a, id + 1 AS b FROM segments), j AS (SELECT sketch, CASE kind WHEN 'distance' THEN abs(sqrt((p.x0-q.x0)*(p.x0-q.x0)+(p.y0-q.y0)*(p.y0-q.y0)) - 100) WHEN 'horizontal' THEN abs(p.y0-q.y0) ELSE abs(p.x0-q.x0) END AS off FROM c JOIN segments p ON p.id = a JOIN segments q ON q.id = b) SELECT sketch, count(*) AS n, round(sum(off*off), 3) AS residual, round(max(off), 6) AS worst FROM j GROUP BY sketch")
+def gr_34_residuals(spark, d):
+    s = segments(spark, d)
+    kind = F.element_at(F.array(F.lit("distance"), F.lit("horizontal"), F.lit("vertical")), (F.col("id") % 3 + 1).cast("int"))
+    c = s.select((F.col("id") % 20).alias("sketch"), kind.alias("kind"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(100.0).alias("value"))
+    return rules.constraint_residuals(c, s.select("id", F.col("x0").alias("x"), F.col("y0").alias("y"))).select("sketch", "n", F.round("residual", 3).alias("residual"), r6("worst", "worst"))
+
+
+@register("wn_04_curvature_variance", f"WITH {BOXES}, k AS (SELECT id, unnest([1,2,3,4]) AS i, 2/sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)) AS c FROM boxes) SELECT id AS ring, 0.0::DOUBLE AS spread, round(avg(c), 6) AS mean FROM k GROUP BY id")
+def wn_04_curvature_variance(spark, d):
+    from ..operators import drawing
+
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    c = boxes(spark, d).select(F.col("id").alias("ring"), F.posexplode(F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"))).alias("idx", "p")).select("ring", "idx", "p.x", "p.y")
+    return drawing.vertex_turns(c).groupBy("ring").agg(F.round(F.var_pop("curvature"), 6).alias("spread"), F.round(F.avg("curvature"), 6).alias("mean"))
+
+
+@register("flt_12_collinear", f"WITH {BOXES} SELECT id AS ring, unnest([0, 2, 3, 4]) AS idx FROM boxes")
+def flt_12_collinear(spark, d):
+    from ..operators import drawing
+
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    c = boxes(spark, d).select(F.col("id").alias("ring"), F.posexplode(F.array(p(x0, y0), p((x0 + x1) / 2, y0), p(x1, y0), p(x1, y1), p(x0, y1))).alias("idx", "p")).select("ring", "idx", "p.x", "p.y")
+    return drawing.vertex_turns(c).filter(F.abs("turn") >= 1.0).select("ring", "idx")
