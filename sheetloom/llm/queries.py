@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, language_id, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity, url_filter
+from . import context_mixing, decontaminate, language_id, packing, quality_rules, secret_scan, simhash_dedup, source_mix, spelling_variants, substring_dedup, toxicity, url_filter, vector_codes
 from .common import bucket_of, read
 
 
@@ -83,6 +83,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -94,5 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_mix": op13_source_mix,
 }
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.SQL, "op11_vector_codes": vector_codes.SQL, "op12_spelling_variants": spelling_variants.SQL, "op13_source_mix": source_mix.SQL}
