@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,17 @@ from . import spatial
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut.
+    """df written once as Parquet to the shared checkpoint folder and read again, so that its lineage is cut.
 
-    The folder is the one that spark.checkpoint.dir names, else one in the warehouse, which is shared too."""
+    Rounds then plan with the sizes of files: sizes guessed from plans are multiplied by every join, so in a loop of
+    joins over checkpointed frames their digits double each round. The folder is the one that spark.checkpoint.dir names,
+    else one in the warehouse, which is shared too."""
     sc, conf = df.sparkSession.sparkContext, df.sparkSession.conf
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint(eager=True)
+    folder = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def _hook(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -76,12 +82,14 @@ def with_box(rings: DataFrame) -> DataFrame:
     return rings.withColumns({"x0": side(F.array_min, "x"), "y0": side(F.array_min, "y"), "x1": side(F.array_max, "x"), "y1": side(F.array_max, "y")})
 
 
-def nesting(rings: DataFrame, drawing: str = "drawing", cell: float = 100.0) -> DataFrame:
+def nesting(rings: DataFrame, drawing: str | None = "drawing", cell: float = 100.0) -> DataFrame:
     """(drawing, ring_id, parent_id, depth) of rings (drawing, ring_id, points): the parent is the smallest strictly
     larger ring of the drawing that holds the first vertex, on ties the one of least id; depth counts such rings.
 
-    First vertices meet envelopes on a grid that fits the envelopes' sizes, so no two rings are compared
-    that lie apart. A ring's points are one row."""
+    With drawing None all rings are of one drawing, and the result has no such column. First vertices meet envelopes on
+    a grid that fits the envelopes' sizes, so no two rings are compared that lie apart. A ring's points are one row."""
+    if drawing is None:
+        return nesting(rings.withColumn("drawing", F.lit(0)), "drawing", cell).drop("drawing")
     r = with_box(rings.select(F.col(drawing).alias("own"), "ring_id", "points", F.abs(g.ring_area(F.col("points"))).alias("area")))
     p = F.element_at("points", 1)
     starts = r.select("own", "ring_id", "area", p["x"].alias("x0"), p["y"].alias("y0"), p["x"].alias("x1"), p["y"].alias("y1"))

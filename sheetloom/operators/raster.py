@@ -16,6 +16,29 @@ def pixels(images: DataFrame, width: int) -> DataFrame:
     return p.select("image", F.floor(F.col("k") / width).cast("int").alias("r"), (F.col("k") % width).cast("int").alias("c"), "v")
 
 
+def drawn(segments: DataFrame, width: int, height: int) -> DataFrame:
+    """(image, grey) of segments (image, x0, y0, x1, y1) in pixels, as 255 on 0: points of each a pixel apart at most.
+
+    What lies outside is not drawn. Pixels of an image are told apart before they are gathered."""
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    n = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy))), F.lit(1)).cast("int")
+    steps = segments.select("image", "x0", "y0", dx.alias("dx"), dy.alias("dy"), n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("k"))
+    at = steps.select("image", F.round(F.col("x0") + F.col("dx") * F.col("k") / F.col("n")).cast("int").alias("c"), F.round(F.col("y0") + F.col("dy") * F.col("k") / F.col("n")).cast("int").alias("r"))
+    ink = at.filter(F.col("c").between(0, width - 1) & F.col("r").between(0, height - 1)).groupBy("image").agg(F.collect_set(F.col("r") * width + F.col("c")).alias("ink"))
+    kind = segments.schema["image"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            greys = []
+            for own in pdf["ink"]:
+                grey = np.zeros(width * height, int)
+                grey[np.asarray(own, int)] = 255
+                greys.append(grey.tolist())
+            yield pd.DataFrame({"image": pdf["image"], "grey": greys})
+
+    return ink.mapInPandas(run, f"image {kind}, grey array<int>")
+
+
 def otsu(images: DataFrame) -> DataFrame:
     """(image, threshold): the grey level of 0..255 that best parts dark from light, from counts of levels."""
     h = images.select("image", F.explode("grey").alias("v")).groupBy("image", "v").agg(F.count("*").alias("n"))

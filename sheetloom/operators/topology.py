@@ -28,7 +28,7 @@ def split_at_points(segments: DataFrame, cuts: DataFrame, tol: float = 1e-6) ->
 
 def split_at_crossings(segments: DataFrame, cell: float = 50.0, tol: float = 1e-6) -> DataFrame:
     """Pieces of segments (id, x0, y0, x1, y1) between all their crossings and touches with each other."""
-    met = spatial.crossings(segments, cell)
+    met = graphs.written(spatial.crossings(segments, cell).select("a", "b", "x", "y"))
     return split_at_points(segments, met.select(F.col("a").alias("id"), "x", "y").union(met.select("b", "x", "y")), tol)
 
 
@@ -97,16 +97,22 @@ def faces(half: DataFrame) -> DataFrame:
     return named.groupBy("face").agg(F.count("*").alias("n"), (F.sum(F.col("ux") * F.col("vy") - F.col("vx") * F.col("uy")) / 2).alias("area"))
 
 
-def loops(half: DataFrame, least_area: float = 1e-6) -> DataFrame:
-    """(ring_id, points, signed_area) of faces of three points or more whose area is over least_area, either way round.
-
-    Places along a face come from distances to its end, by doubling; a ring's points are one row."""
-    cycle = graphs.written(_cycles(half).join(half.select("h", "next", "ux", "uy"), "h"))
-    far = graphs.written(cycle.select("h", F.when(F.col("next") != F.col("face"), F.col("next")).alias("far"), F.when(F.col("next") != F.col("face"), 1).otherwise(0).alias("left")))
+def along(half: DataFrame) -> DataFrame:
+    """(h, face, k): the half-edges of each face in order, from its least one; places come from distances to the face's end, by doubling."""
+    cycle = graphs.written(_cycles(half).join(half.select("h", "next"), "h"))
+    last = F.col("next") == F.col("face")
+    far = graphs.written(cycle.select("h", F.when(~last, F.col("next")).alias("far"), F.when(last, 0).otherwise(1).alias("left")))
     while not far.filter("far is not null").isEmpty():
         ahead = far.select(F.col("h").alias("far"), F.col("far").alias("far2"), F.col("left").alias("left2"))
         far = graphs.written(far.join(ahead, "far", "left").select("h", F.col("far2").alias("far"), (F.col("left") + F.coalesce("left2", F.lit(0))).alias("left")))
-    rows = cycle.join(far.select("h", "left"), "h").groupBy("face").agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("k"), F.col("ux").alias("x"), F.col("uy").alias("y")))).alias("p"))
+    return cycle.select("h", "face").join(far.select("h", (-F.col("left")).alias("k")), "h")
+
+
+def loops(half: DataFrame, least_area: float = 1e-6) -> DataFrame:
+    """(ring_id, points, signed_area) of faces of three points or more whose area is over least_area, either way round.
+
+    A ring's points are one row."""
+    rows = along(half).join(half.select("h", "ux", "uy"), "h").groupBy("face").agg(F.array_sort(F.collect_list(F.struct("k", F.col("ux").alias("x"), F.col("uy").alias("y")))).alias("p"))
     rings = rows.select(F.col("face").alias("ring_id"), F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"))
     out = rings.withColumn("signed_area", g.ring_area(F.col("points")))
     return out.filter((F.size("points") >= 3) & (F.abs("signed_area") > least_area))

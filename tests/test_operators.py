@@ -62,7 +62,7 @@ def test_nesting(spark):
     sq = lambda a, b: [(float(a), float(a)), (float(b), float(a)), (float(b), float(b)), (float(a), float(b))]
     rows = [(1, sq(0, 30)), (2, sq(10, 20)), (3, sq(14, 16))]
     rings = spark.createDataFrame(rows, "ring_id long, points array<struct<x:double,y:double>>")
-    got = {r.ring_id: (r.parent_id, r.depth) for r in graphs.nesting(rings).collect()}
+    got = {r.ring_id: (r.parent_id, r.depth) for r in graphs.nesting(rings, None).collect()}
     assert got == {1: (None, 0), 2: (1, 1), 3: (2, 2)}
 
 
