@@ -187,3 +187,10 @@ def orient3d(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
 def checked_box(values: Column) -> Column:
     """Four numbers as an array of doubles, else null."""
     return F.when((F.size(values) == 4) & ~F.exists(values, lambda v: v.try_cast("double").isNull()), F.transform(values, lambda v: v.try_cast("double")))
+
+
+def on_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column, tol: float) -> Column:
+    """Whether a point lies on a segment, ends included: twice the area it spans with it is tol at most, and it is within tol of its box."""
+    area = (px - x0) * (y1 - y0) - (py - y0) * (x1 - x0)
+    inside = lambda p, a, b: (p >= F.least(a, b) - tol) & (p <= F.greatest(a, b) + tol)
+    return inside(px, x0, x1) & inside(py, y0, y1) & (F.abs(area) <= tol)

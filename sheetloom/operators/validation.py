@@ -47,13 +47,15 @@ def check_self_intersection(rings: DataFrame, cell: float = 50.0) -> DataFrame:
     """E003 for rings of four points or more with a point that comes twice or two sides, not next to each other, that meet.
 
     Sides meet on the grid, ring by ring, so a long ring is no all-pairs comparison."""
-    e = ring_edges(rings).filter("n >= 4")
+    e = graphs.written(ring_edges(rings).filter("n >= 4"))
     again = e.groupBy("drawing", "ring_id", "sx0", "sy0").agg(F.count("*").alias("k")).filter("k > 1").select("drawing", "ring_id")
     pairs = spatial.overlap_pairs(e, e, cell).filter("drawing = r_drawing and ring_id = r_ring_id and i + 1 < r_i and not (i = 0 and r_i = n - 1)")
+    pairs = graphs.written(pairs.select("drawing", "ring_id", *(f"{side}{c}" for side in ("s", "r_s") for c in ("x0", "y0", "x1", "y1"))))
     ends = [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1", "r_sx0", "r_sy0", "r_sx1", "r_sy1")]
-    lies = lambda k: (g.orientation(*ends[0:4], ends[k], ends[k + 1]) == 0) & (F.least(ends[0], ends[2]) <= ends[k]) & (ends[k] <= F.greatest(ends[0], ends[2])) & (F.least(ends[1], ends[3]) <= ends[k + 1]) & (ends[k + 1] <= F.greatest(ends[1], ends[3]))
-    met = pairs.filter(g.intersection(*ends).isNotNull() | lies(4) | lies(6)).select("drawing", "ring_id")
-    return _issue(again.union(met).distinct(), "E003", "error", "self_intersection")
+    lies = lambda k: (F.least(ends[0], ends[2]) <= ends[k]) & (ends[k] <= F.greatest(ends[0], ends[2])) & (F.least(ends[1], ends[3]) <= ends[k + 1]) & (ends[k + 1] <= F.greatest(ends[1], ends[3])) & (g.orientation(*ends[0:4], ends[k], ends[k + 1]) == 0)
+    # One filter each: together their code is too long to be compiled.
+    met = [pairs.filter(x).select("drawing", "ring_id") for x in (g.intersection(*ends).isNotNull(), lies(4), lies(6))]
+    return _issue(again.union(met[0]).union(met[1]).union(met[2]).distinct(), "E003", "error", "self_intersection")
 
 
 def _crossing_rings(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
