@@ -40,7 +40,7 @@ def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     primitive = (F.col("win") * (PRIMITIVES // 2) + F.col("k")).cast("long").alias("primitive")
     rows = lambda first, name: w.select("page", "win", "query", F.posexplode(_values(first, PRIMITIVES, 12.0)).alias("k", name)).select("page", "win", "query", primitive, name)
     queries = w.select("page", "win", "query", _values(1, LABELS, 10.0).alias("logits"), (F.get("embedding", F.lit(14)).cast("double") * 5).alias("quality"), _values(7, 8, 1.0).alias("identity"))
-    nulls = rows(49, "null_logit").filter("query = 0").drop("query")
+    nulls = rows(49, "null_logit").groupBy("page", "win", "primitive").agg(F.min("null_logit").alias("null_logit"))
     return queries, rows(17, "logit"), rows(33, "logit"), nulls
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fitting, raster, tracing
+from ..operators import fitting, raster, scans, tracing
 from .tables import SEGMENTS, read, segments
 
 QUERIES, ORACLES = {}, {}
@@ -100,3 +100,43 @@ def sc_36_best_primitive(spark, d):
     s = tracing.strokes(raster.skeleton(images(spark, d), WIDTH, 128), WIDTH).filter(F.size("points") >= 5)
     p = s.select(F.concat_ws("/", "image", "stroke").alias("stroke"), F.posexplode("points").alias("k", "p")).select("stroke", "k", "p.x", "p.y")
     return fitting.primitive_fits(p, "stroke").filter("best").select("stroke", "kind", "n", F.round("rms", 6).alias("rms"), F.round("score", 4).alias("score"))
+
+
+@register("ra_14_non_local_means")
+def ra_14_non_local_means(spark, d):
+    """Ink that is left of each drawing after denoising, and its grey sum."""
+    v = F.explode("grey").alias("v")
+    return scans.non_local_means(images(spark, d), WIDTH, 200.0).select("image", v).groupBy("image").agg(F.count_if(F.col("v") > 0).alias("ink"), F.sum("v").alias("total"))
+
+
+@register("ra_15_local_contrast")
+def ra_15_local_contrast(spark, d):
+    soft = raster.gaussian_filter(images(spark, d), WIDTH)
+    return scans.local_contrast(soft, WIDTH, 4.0, 40).select("image", F.explode("grey").alias("v")).groupBy("image").agg(F.sum("v").alias("total"), F.max("v").alias("top"))
+
+
+@register("ra_17_papers")
+def ra_17_papers(spark, d):
+    """Bright regions of a tenth of the drawing or more, where there are any."""
+    return scans.papers(raster.gaussian_filter(images(spark, d), WIDTH, 4.0), WIDTH).select("image", "kind", F.round("share", 6).alias("share"))
+
+
+@register("ra_18_corrected")
+def ra_18_corrected(spark, d):
+    """Each drawing seen through the box of its segments, a little turned."""
+    box = segments(spark, d).groupBy(F.floor(F.col("id") / PER_IMAGE).alias("image")).agg(*(f(f"{c}0", f"{c}1").alias(f"{c}{k}") for c in "xy" for k, f in ((0, lambda u, v: F.min(F.least(u, v))), (1, lambda u, v: F.max(F.greatest(u, v))))))
+    x0, x1 = ((F.col(c) + 600) / 1200 * (WIDTH - 1) for c in ("x0", "x1"))
+    y0, y1 = ((F.col(c) + 600) / 1200 * (HEIGHT - 1) for c in ("y0", "y1"))
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    quads = box.select("image", F.array(at(x0, y0), at(x1, y0 + 5), at(x1 - 3, y1), at(x0 + 2, y1 - 4)).alias("corners"))
+    return scans.corrected(images(spark, d), quads, WIDTH).select("image", "width", "height", F.size("grey").alias("pixels"), F.aggregate("grey", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@register("ra_20_erased", f"WITH {INK}, b AS (SELECT id // 8 AS image, floor((y0 + 600) / 1200 * 119)::BIGINT AS r, floor((x0 + 600) / 1200 * 159)::BIGINT AS c FROM segments) SELECT image, CAST(count_if(NOT EXISTS (SELECT 1 FROM b WHERE b.image = i.image AND abs(i.r - b.r) <= 5 AND abs(i.c - b.c) <= 5)) AS BIGINT) AS ink FROM ink i GROUP BY image")
+def ra_20_erased(spark, d):
+    """Ink that is left without the squares around where segments begin."""
+    at = lambda c, side: F.floor((F.col(c) + 600) / 1200 * (side - 1))
+    m = segments(spark, d).select(F.floor(F.col("id") / PER_IMAGE).alias("image"), at("y0", HEIGHT).alias("r"), at("x0", WIDTH).alias("c"))
+    boxes = m.select("image", (F.col("r") - 3).alias("r0"), (F.col("c") - 3).alias("c0"), (F.col("r") + 3).alias("r1"), (F.col("c") + 3).alias("c1"))
+    left = scans.erased(images(spark, d), boxes, WIDTH, paper=0).select("image", F.explode("grey").alias("v"))
+    return left.groupBy("image").agg(F.count_if(F.col("v") > 0).alias("ink"))
