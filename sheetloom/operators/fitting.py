@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import graphs
+
 #: Groups of up to so many points list all their pairs; larger ones count ranks.
 PAIR_POINTS = 1200
 #: Free parameters of each primitive; weights of the two criteria in the choice.
@@ -236,7 +238,7 @@ def _per_group(points: DataFrame, group: str, work, schema: str) -> DataFrame:
         return pd.DataFrame([(own, *r) for r in rows], columns=[group, *names])
 
     placed = points.select(group, "k", F.col("x").cast("double"), F.col("y").cast("double")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    return placed.groupBy(group).applyInPandas(run, f"{group} {kind}, {schema}")
+    return graphs.spread(placed, group).groupBy(group).applyInPandas(run, f"{group} {kind}, {schema}")
 
 
 def line_fits(points: DataFrame, group: str) -> DataFrame:

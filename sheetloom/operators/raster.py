@@ -24,7 +24,8 @@ def drawn(segments: DataFrame, width: int, height: int) -> DataFrame:
     n = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy))), F.lit(1)).cast("int")
     steps = segments.select("image", "x0", "y0", dx.alias("dx"), dy.alias("dy"), n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("k"))
     at = steps.select("image", F.round(F.col("x0") + F.col("dx") * F.col("k") / F.col("n")).cast("int").alias("c"), F.round(F.col("y0") + F.col("dy") * F.col("k") / F.col("n")).cast("int").alias("r"))
-    ink = at.filter(F.col("c").between(0, width - 1) & F.col("r").between(0, height - 1)).groupBy("image").agg(F.collect_set(F.col("r") * width + F.col("c")).alias("ink"))
+    inside = at.filter(F.col("c").between(0, width - 1) & F.col("r").between(0, height - 1)).distinct()
+    ink = graphs.spread(inside, "image").groupBy("image").agg(F.collect_set(F.col("r") * width + F.col("c")).alias("ink"))
     kind = segments.schema["image"].dataType.simpleString()
 
     def run(frames):
