@@ -139,3 +139,20 @@ def merge_intervals(rows: DataFrame, group: list[str], gap) -> DataFrame:
     marked = rows.withColumn("__new", (reach.isNull() | (F.col("lo") > reach + gap)).cast("int"))
     island = marked.withColumn("__i", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return island.groupBy(*group, "__i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).drop("__i")
+
+
+def assignments(rows: DataFrame, item: list[str], owner: str, least: float, owners: int, edges: int, overflow: int = 0) -> DataFrame:
+    """rows (id, score, second) chosen for each item, with reason: of its best owners the best rows of each, then the best others.
+
+    Rows under least are left out. An owner counts by its best row, by score and then second; at most owners of them keep at most
+    edges rows each (assigned), and overflow more rows of the item are kept whoever owns them (overflow). Equal ones
+    go by the smaller owner and id. An item's rows, its candidates, are one window."""
+    order = [F.desc("score"), F.desc("second")]
+    own = W.partitionBy(*item, owner).orderBy(*order, "id")
+    first = F.first(F.struct("score", "second")).over(own)
+    r = rows.filter(F.col("score") >= least).withColumns({"__row": F.row_number().over(own), "__best": first})
+    r = r.withColumn("__owner", F.dense_rank().over(W.partitionBy(*item).orderBy(F.desc("__best"), owner)))
+    r = r.withColumn("__in", (F.col("__owner") <= owners) & (F.col("__row") <= edges))
+    r = r.withColumn("__rest", F.row_number().over(W.partitionBy(*item, "__in").orderBy(*order, "id")))
+    reason = F.when(F.col("__in"), "assigned").when(F.col("__rest") <= overflow, "overflow")
+    return r.withColumn("reason", reason).filter("reason is not null").select(*rows.columns, "reason")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import chains, ownership
-from .tables import SEGMENTS, read, segments
+from ..operators import chains, ownership, selection
+from .tables import BOXES, SEGMENTS, boxes, read, segments
 
 QUERIES, ORACLES = {}, {}
 
@@ -97,3 +97,19 @@ def gr_17_auto_trace(spark, d):
 @register("jn_43_ends_on_segments", f"WITH {SEGMENTS}, e AS (SELECT id, 0 AS \"end\", x0 AS x, y0 AS y FROM segments UNION ALL SELECT id, 1, x1, y1 FROM segments) SELECT e.id, e.\"end\", s.id AS \"on\" FROM e JOIN segments s ON e.id <> s.id AND abs((x - x0) * (y1 - y0) - (y - y0) * (x1 - x0)) <= 5 AND x BETWEEN least(x0, x1) - 5 AND greatest(x0, x1) + 5 AND y BETWEEN least(y0, y1) - 5 AND greatest(y0, y1) + 5")
 def jn_43_ends_on_segments(spark, d):
     return chains.ends_on_segments(segments(spark, d), 5.0)
+
+
+@register("tk_09_assignments", f"""
+WITH {BOXES}, p AS (SELECT a.page, a.id AS item, b.label AS owner, b.id, a.score * b.score AS score, b.score AS second FROM boxes a JOIN boxes b ON a.page = b.page AND a.id <> b.id AND a.label < 2 AND b.label >= 2 AND a.score * b.score >= 0.01),
+r AS (SELECT *, row_number() OVER (PARTITION BY item, owner ORDER BY score DESC, second DESC, id) AS k, max(score) OVER (PARTITION BY item, owner) AS best FROM p),
+f AS (SELECT *, max(CASE WHEN k = 1 THEN second END) OVER (PARTITION BY item, owner) AS best2 FROM r),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY item ORDER BY best DESC, best2 DESC, owner) AS n FROM f),
+q AS (SELECT *, n <= 3 AND k <= 2 AS chosen FROM o),
+z AS (SELECT *, row_number() OVER (PARTITION BY item, chosen ORDER BY score DESC, second DESC, id) AS rest FROM q)
+SELECT page, item, owner, id, CASE WHEN chosen THEN 'assigned' ELSE 'overflow' END AS reason FROM z WHERE chosen OR rest <= 2""")
+def tk_09_assignments(spark, d):
+    """Boxes of other labels for each box of the first two, by label: the two best of the three best labels, and two more."""
+    b = boxes(spark, d).select("page", "id", "label", "score")
+    other = b.filter("label >= 2").select("page", F.col("id").alias("other"), F.col("label").alias("owner"), F.col("score").alias("second"))
+    p = b.filter("label < 2").join(other, "page").select("page", F.col("id").alias("item"), "owner", F.col("other").alias("id"), (F.col("score") * F.col("second")).alias("score"), "second")
+    return selection.assignments(p, ["item"], "owner", 0.01, 3, 2, 2).select("page", "item", "owner", "id", "reason")

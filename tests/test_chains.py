@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sheetloom.operators import chains
+from sheetloom.operators import chains, selection
 
 
 def plain(segments, pick):
@@ -57,3 +57,21 @@ def test_ends_on_segments(spark):
     rows = [(1, 0.0, 0.0, 10.0, 0.0), (2, 4.0, 0.0, 4.0, 9.0), (3, 10.0, 0.0, 20.0, 0.0), (4, 5.0, 0.5, 6.0, 3.0)]
     got = {tuple(r) for r in chains.ends_on_segments(spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double"), 1e-6).collect()}
     assert got == {(2, 0, 1), (1, 1, 3), (3, 0, 1)}
+
+
+def test_assignments_equal_the_sequential_rule(spark):
+    rng = random.Random(4)
+    rows = [(k, k % 6, rng.randrange(5), rng.randrange(8) / 8, rng.randrange(3) / 3) for k in range(240)]
+    df = spark.createDataFrame(rows, "id long, item int, owner int, score double, second double")
+    got = {r.id: r.reason for r in selection.assignments(df, ["item"], "owner", 0.25, 3, 2, 3).collect()}
+    want = {}
+    for item in range(6):
+        own = sorted((r for r in rows if r[1] == item and r[3] >= 0.25), key=lambda r: (-r[3], -r[4], r[0]))
+        by = {}
+        for r in own:
+            by.setdefault(r[2], []).append(r)
+        for owner in sorted(by, key=lambda o: (-by[o][0][3], -by[o][0][4], o))[:3]:
+            want |= {r[0]: "assigned" for r in by[owner][:2]}
+        want |= {r[0]: "overflow" for r in [r for r in own if r[0] not in want][:3]}
+    assert got == want and set(want.values()) == {"assigned", "overflow"}
+    assert "overflow" not in {r.reason for r in selection.assignments(df, ["item"], "owner", 0.25, 3, 2).collect()}
