@@ -98,8 +98,8 @@ SHEET_TEXTS = ["Room 12", "KITCHEN", "bath", "3.20 x 4.10", "900×2100", "Door s
 
 
 @register("prj_37_routed", f"""WITH i AS (SELECT l_orderkey, l_linenumber, ['primitives','text_candidates','symbol_candidates','semantic_regions','layout_regions'][l_partkey % 5 + 1] AS source, ['boundary','text','symbol','space','sheet'][l_partkey % 5 + 1] AS default_,
-    CASE WHEN l_suppkey % 3 > 0 THEN 'c' || l_linenumber END AS id, nullif({KINDS}[l_partkey % 8 + 1], '') AS kind, l_discount * 10 * l_tax * 10 AS area, greatest(0, least(1, l_quantity / 40)) AS given FROM lineitem),
-p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, source ORDER BY l_linenumber) - 1 AS place, replace(lower(coalesce(kind, CASE WHEN source = 'primitives' THEN 'primitive' ELSE default_ END)), ' ', '_') AS candidate_type FROM i),
+    CASE WHEN l_suppkey % 3 > 0 THEN 'c' || l_linenumber END AS id, nullif({KINDS}[l_partkey % 8 + 1], '') AS kind, l_discount * 10 * l_tax * 10 AS area, greatest(0, least(1, l_quantity / 40)) AS given, l_partkey, l_suppkey, l_extendedprice, l_quantity FROM lineitem),
+p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, source ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS place, replace(lower(coalesce(kind, CASE WHEN source = 'primitives' THEN 'primitive' ELSE default_ END)), ' ', '_') AS candidate_type FROM i),
 t AS (SELECT *, string_split(replace(candidate_type, '-', '_'), '_') AS t, source <> 'primitives' AND area >= 0.08 AS large FROM p),
 m AS (SELECT *, list_min(list_intersect(t, ['text','ocr','dimension','leader','callout','note','label'])) AS h1, list_min(list_intersect(t, ['title','table','schedule','legend','stamp','sheet'])) AS h2, list_min(list_intersect(t, ['symbol','fixture','furniture','stair','column','equipment','icon'])) AS h3,
     list_min(list_intersect(t, ['room','space','area','region','polygon','closed'])) AS h4, list_min(list_intersect(t, ['wall','door','window','opening','line','polyline','boundary'])) AS h5 FROM t),
@@ -115,7 +115,7 @@ def prj_37_routed(spark, d):
         F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))).alias("id"), none.alias("target_id"), F.when(odd, kind).alias("type"), F.when(~odd, kind).alias("semantic_type"), none.alias("symbol_type"),
         none.alias("layout_type"), none.alias("text_type"), none.alias("label"), box.alias("bbox"), (F.col("l_quantity") / 40).cast("string").alias("confidence"),
     )
-    mine = lambda k: F.transform(F.array_sort(F.collect_list(F.when(part % 5 == k, F.struct("l_linenumber", c.alias("c"))))), lambda r: r["c"])
+    mine = lambda k: F.transform(F.array_sort(F.collect_list(F.when(part % 5 == k, F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", c.alias("c"))))), lambda r: r["c"])
     lists = list(routing.LISTS)
     # Every other record has its lists in its hints.
     r = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("record_id")).agg(mine(0).alias("nodes"), *(mine(k + 1).alias(n) for k, n in enumerate(lists)))
