@@ -145,44 +145,79 @@ def recall_by_cover(gold: DataFrame, found: DataFrame, limit: float = 0.3) -> Da
 
 
 def multi_cap(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """Rows of each page (page, id, score) taken by score while none of the counters in caps is full."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: dict[tuple, int] = {}
-        keep = []
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        for i, row in enumerate(pdf.to_dict("records")):
-            if all(seen.get((c, row[c]), 0) < k for c, k in caps.items()):
-                keep.append(i)
-                for c in caps:
-                    seen[c, row[c]] = seen.get((c, row[c]), 0) + 1
-        return pdf.iloc[keep]
-
-    return rows.groupBy("page").applyInPandas(work, rows.schema)
-
-
-def simplify(points: DataFrame, key: str, tol: float) -> DataFrame:
-    """points (key, idx, x, y) of open polylines thinned by greatest deviation; a polyline is one task's."""
+    """Rows of each page (page, id, score) taken by score, then id, while none of the counters in caps is full.
+
+    A row is taken once fewer rows before it than the cap are taken or open in each of its counters, and goes once as many are
+    taken in one; rounds go on until no row is open. A page's first open row is always decided. Counters are windows
+    of running sums over page and value, so no page is held in one task's memory. Null values count as one value."""
+    order = [F.desc("score"), F.asc("id")]
+    state = graphs.written(rows.withColumns({"__taken": F.lit(False), "__open": F.lit(True)}))
+    while not state.filter("__open").isEmpty():
+        sure, full = F.col("__open"), F.lit(False)
+        for c, cap in caps.items():
+            before = W.partitionBy("page", c).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+            count = lambda test: F.coalesce(F.sum(test.cast("long")).over(before), F.lit(0))  # noqa: B023, E731
+            sure, full = sure & (count(F.col("__taken") | F.col("__open")) < cap), full | (count(F.col("__taken")) >= cap)
+        marked = state.withColumns({"__sure": sure, "__full": F.col("__open") & full})
+        state = graphs.written(marked.filter("not __full").select(*rows.columns, F.expr("__taken or __sure").alias("__taken"), F.expr("__open and not __sure").alias("__open")))
+    return state.select(*rows.columns)
+
+
+#: Points of a stretch that one task thins at most; longer ones are cut in rounds first.
+MOST_POINTS = 4096
+
+
+def simplify(points: DataFrame, key: str, tol: float, most: int = MOST_POINTS) -> DataFrame:
+    """points (key, idx, x, y) of open polylines thinned by greatest deviation, the first of equal ones.
+
+    Stretches of over most points are cut at their greatest deviation in rounds, each a combined maximum over the stretch, or lose
+    all inner points where it is within tol; shorter ones are thinned by a task each. So a polyline of any length is
+    spread, with the same result. idx is unique in its polyline; rows with nulls go."""
+    p = graphs.written(points.select(F.col(key).alias("k"), "idx", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna().withColumn("lo", F.lit(0).cast(points.schema["idx"].dataType)))
+    p = graphs.written(p.drop("lo").join(p.groupBy("k").agg(F.min("idx").alias("lo")), "k"))
+    whole = None
+    while True:
+        ends = p.groupBy("k", "lo").agg(F.count("*").alias("n"), F.min(F.struct("idx", "x", "y")).alias("a"), F.max(F.struct("idx", "x", "y")).alias("b"))
+        ends = graphs.written(ends)
+        long_ = ends.filter(F.col("n") > most)
+        if long_.isEmpty():
+            break
+        q = p.join(long_, ["k", "lo"])
+        dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+        n = F.sqrt(dx * dx + dy * dy)
+        ox, oy = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y")
+        far = F.when(n > 0, F.abs(dx * oy - dy * ox) / n).otherwise(F.sqrt(ox * ox + oy * oy))
+        inner = q.filter((F.col("idx") > F.col("a.idx")) & (F.col("idx") < F.col("b.idx")))
+        cut = graphs.written(inner.groupBy("k", "lo").agg(F.max(F.struct(far.alias("far"), (-F.col("idx")).alias("back"))).alias("m")).select("k", "lo", (-F.col("m.back")).alias("cut"), (F.col("m.far") > tol).alias("split")))
+        rest = p.join(long_.select("k", "lo"), ["k", "lo"], "left_anti")
+        both = p.join(cut, ["k", "lo"]).join(long_.select("k", "lo", F.col("a.idx").alias("first"), F.col("b.idx").alias("last")), ["k", "lo"])
+        flat = both.filter("not split and idx in (first, last)").select("k", "idx")
+        whole = flat if whole is None else whole.union(flat)
+        left = both.filter("split and idx <= cut").select("k", "idx", "x", "y", "lo")
+        right = both.filter("split and idx >= cut").select("k", "idx", "x", "y", F.col("cut").alias("lo"))
+        p = graphs.written(rest.select("k", "idx", "x", "y", "lo").union(left).union(right))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        p, keep, todo = pdf[["x", "y"]].to_numpy(float), np.zeros(len(pdf), bool), [(0, len(pdf) - 1)]
+        at, keep, todo = pdf[["x", "y"]].to_numpy(float), np.zeros(len(pdf), bool), [(0, len(pdf) - 1)]
         keep[[0, -1]] = True
         while todo:
             a, b = todo.pop()
             if b - a < 2:
                 continue
-            d = p[b] - p[a]
+            d = at[b] - at[a]
             n = np.hypot(*d)
-            off = p[a + 1 : b] - p[a]
+            off = at[a + 1 : b] - at[a]
             far = np.abs(d[0] * off[:, 1] - d[1] * off[:, 0]) / n if n else np.hypot(off[:, 0], off[:, 1])
             k = int(far.argmax())
             if far[k] > tol:
                 keep[a + 1 + k] = True
                 todo += [(a, a + 1 + k), (a + 1 + k, b)]
-        return pdf[keep]
+        return pdf[keep][["k", "idx"]]
 
-    return points.groupBy(key).applyInPandas(work, points.schema)
+    kept = p.groupBy("k", "lo").applyInPandas(work, p.select("k", "idx").schema)
+    kept = (kept if whole is None else kept.union(whole)).distinct()
+    return points.join(kept.select(F.col("k").alias(key), "idx"), [key, "idx"], "left_semi").select(*points.columns)
 
 
 def nearest_any(points: DataFrame, others: DataFrame, key: str, cell: float, rounds: int = 40) -> DataFrame:

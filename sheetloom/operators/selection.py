@@ -84,19 +84,26 @@ def top_k(rows: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
 
 def budget(rows: DataFrame, group: str, per_group: int, per_label: int, total: int) -> DataFrame:
     """Caps per group and per label in it, by score; then groups by their score sum until total rows, skipping
-    groups that do not fit. Only one row per group streams by the driver, which holds the chosen ones, total at most."""
+    groups that do not fit. Groups come to the driver in portions of as many as rows are left, so total at most; those that no longer
+    fit are left out before they are ordered, so there are per_group portions at most."""
     kept = top_k(top_k(rows, [group, "label"], [F.desc("score"), "id"], per_label), [group], [F.desc("score"), "id"], per_group)
-    # each chosen group takes a row or more, so total groups at most are chosen; a group of n rows can only be
-    # passed over while under n are left, so the scan ends when one is left for the smallest group
-    sums = kept.groupBy(group).agg(F.sum("score").alias("s"), F.count("*").alias("n"))
-    least = sums.agg(F.min("n")).first()[0] or 0
-    left, chosen = total, []
-    for r in sums.orderBy(F.desc("s"), group).toLocalIterator():
-        if left < least:
+    from . import graphs
+
+    sums = graphs.written(kept.groupBy(group).agg(F.sum("score").alias("s"), F.count("*").alias("n")).filter(F.col(group).isNotNull()))
+    left, chosen, after = total, [], None
+    while left > 0:
+        fit = sums.filter(F.col("n") <= left)
+        if after is not None:
+            fit = fit.filter((F.col("s") < after["s"]) | ((F.col("s") == after["s"]) & (F.col(group) > after[group])))
+        portion = fit.orderBy(F.desc("s"), group).limit(left).collect()
+        size = left
+        for r in portion:
+            if r["n"] <= left:
+                chosen.append((r[group],))
+                left -= r["n"]
+        if len(portion) < size:
             break
-        if r["n"] <= left:
-            chosen.append((r[group],))
-            left -= r["n"]
+        after = portion[-1]
     picked = kept.sparkSession.createDataFrame(chosen, kept.select(group).schema)
     return kept.join(F.broadcast(picked), group, "left_semi")
 

@@ -124,8 +124,8 @@ def loops_by_area(rings: DataFrame) -> DataFrame:
 
 
 def ring_centre(points):
-    """Mean of a ring's points."""
-    total = lambda c: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c]) / F.size(points)
+    """Mean of a ring's points, null for a ring without any."""
+    total = lambda c: F.try_divide(F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c]), F.size(points))
     return total("x"), total("y")
 
 

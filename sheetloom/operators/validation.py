@@ -66,7 +66,7 @@ def _crossing_rings(left: DataFrame, right: DataFrame, cell: float) -> DataFrame
 
 
 def check_holes(rings: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Of rings with a role: E004 for holes whose centre lies outside the outer ring, E005 for holes whose sides meet
+    """Of rings with a role: E004 for holes whose centre lies outside the outer ring or that have no points, E005 for holes whose sides meet
     it, E006 for each hole that meets one of a smaller id."""
     outer, holes = rings.filter("role = 'outer'"), rings.filter("role = 'hole'")
     x, y = topology.ring_centre(F.col("points"))

@@ -114,11 +114,11 @@ def jn_39_full_outer(spark, d):
     return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("id"), F.col("a").isNull().alias("extra"), F.col("b").isNull().alias("missing"))
 
 
-@register("jn_41_missing_extra", "SELECT 'missing' AS side, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) UNION ALL SELECT 'extra', count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.n_chars > 1000)")
+@register("jn_41_missing_extra", "SELECT 'missing' AS side, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) UNION ALL SELECT 'extra', count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
 def jn_41_missing_extra(spark, d):
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     n = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n"))
-    return n(docs.join(labels, "doc_id", "left_anti"), "missing").union(n(labels.join(docs.filter("n_chars > 1000"), "doc_id", "left_anti"), "extra"))
+    return n(docs.join(labels, "doc_id", "left_anti"), "missing").union(n(labels.join(docs, "doc_id", "left_anti"), "extra"))
 
 
 @register("jn_21_material_lookup", "WITH m(brand, alpha) AS (VALUES ('Brand#11', 0.1), ('Brand#22', 0.3)) SELECT p_partkey, round(coalesce(alpha, 0.05)::DOUBLE, 6) AS alpha FROM part LEFT JOIN m ON p_brand = brand")
@@ -206,9 +206,9 @@ def wn_01_consecutive_turns(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", F.lead("turn").over(w).alias("next_turn"), (n - F.lag(n).over(w)).alias("growth"), F.rank().over(W.partitionBy("conv_id").orderBy(n.desc())).alias("place"))
 
 
-@register("wn_10_runs", "WITH u AS (SELECT DISTINCT user_id, event_id FROM events), g AS (SELECT *, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM u) SELECT user_id, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM g GROUP BY user_id, g HAVING count(*) > 1")
+@register("wn_10_runs", "WITH u AS (SELECT DISTINCT user_id, event_id FROM events), g AS (SELECT *, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM u) SELECT user_id, min(event_id) AS lo, max(event_id) AS hi, count(*) AS n FROM g GROUP BY user_id, g")
 def wn_10_runs(spark, d):
-    return sets.runs(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id").filter("n > 1")
+    return sets.runs(read(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
 @register("wn_14_histogram_peaks", "WITH h AS (SELECT (floor(value)::BIGINT % 180 + 180) % 180 AS bin, count(*) AS n FROM events GROUP BY 1), a AS (SELECT b AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(180)) AS b) LEFT JOIN h ON b = bin) SELECT bin, n FROM a WHERE n > 0 AND NOT EXISTS (SELECT 1 FROM a o, (SELECT unnest([-2,-1,1,2]) AS k) WHERE o.bin = (a.bin + k + 180) % 180 AND o.n > a.n)")

@@ -44,9 +44,9 @@ def _corners(spark, d):
     return boxes(spark, d).select(F.col("id").alias("ring"), F.posexplode(F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"))).alias("idx", "p")).select("ring", "idx", "p.x", "p.y")
 
 
-@register("wn_02_vertex_turns", f"WITH {BOXES}, v AS (SELECT id AS ring, unnest([0,1,2,3]) AS idx, unnest([x0,x1,x1,x0]) AS x, unnest([y0,y0,y1,y1]) AS y, unnest([x1-x0,y1-y0,x1-x0,y1-y0]) AS length FROM boxes) SELECT ring, idx, round(length, 6) AS length, 90.0::DOUBLE AS turn FROM v WHERE length < 60")
+@register("wn_02_vertex_turns", f"WITH {BOXES}, v AS (SELECT id AS ring, unnest([0,1,2,3]) AS idx, unnest([x0,x1,x1,x0]) AS x, unnest([y0,y0,y1,y1]) AS y, unnest([x1-x0,y1-y0,x1-x0,y1-y0]) AS length FROM boxes) SELECT ring, idx, round(length, 6) AS length, 90.0::DOUBLE AS turn FROM v")
 def wn_02_vertex_turns(spark, d):
-    return drawing.vertex_turns(_corners(spark, d)).filter("length < 60").select("ring", "idx", r6("length", "length"), r6("turn", "turn"))
+    return drawing.vertex_turns(_corners(spark, d)).select("ring", "idx", r6("length", "length"), r6("turn", "turn"))
 
 
 @register("ag_20_convex_hull")

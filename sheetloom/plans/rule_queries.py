@@ -151,9 +151,9 @@ def sc_27_gap_class(spark, d):
     return segments(spark, d).select("id", rules.gap_class(F.lit(5.0), *map(F.col, ("x0", "y0", "x1", "y1"))).alias("kind"))
 
 
-@register("sf_01_normal_text", "SELECT doc_id, translate(lower(left(text, 80)), 'öäå./-', 'oaa   ') AS t FROM documents WHERE text IS NOT NULL")
+@register("sf_01_normal_text", "SELECT doc_id, translate(lower(text), 'öäå./-', 'oaa   ') AS t FROM documents")
 def sf_01_normal_text(spark, d):
-    return read(spark, d, "documents").filter("text is not null").select("doc_id", tx.fold_text(F.left("text", F.lit(80))).alias("t"))
+    return read(spark, d, "documents").select("doc_id", tx.fold_text(F.col("text")).alias("t"))
 
 
 @register("sf_07_dimension_text", "WITH t AS (SELECT p_partkey, ['12.5','3,40 m','12 x 30','R 4.5','abc','2500mm','','Ø 20','1:50'][p_partkey % 9 + 1] AS t FROM part) SELECT p_partkey, regexp_full_match(replace(lower(trim(t)), ',', '.'), '\\d+(\\.\\d+)?\\s*(m|mm|cm|m2|m²)?|\\d+\\s*[x×]\\s*\\d+') AS is_dimension FROM t")

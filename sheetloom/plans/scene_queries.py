@@ -86,7 +86,7 @@ def val_05_convexity(spark, d):
 
 @register("val_03_holes")
 def val_03_holes(spark, d):
-    return validation.check_holes(_rings(spark, d).filter("size(points) > 3"))
+    return validation.check_holes(_rings(spark, d))
 
 
 @register("val_06_scene", f"WITH {BOXES}, s AS (SELECT DISTINCT page AS drawing, CASE WHEN page % 2 = 0 THEN 'mm' END AS unit FROM boxes), b AS (SELECT DISTINCT page FROM boxes WHERE page % 3 = 0) SELECT drawing, NULL::BIGINT AS ring_id, 'W003' AS code, 'warning' AS severity, 'no_unit' AS rule FROM s WHERE unit IS NULL UNION ALL SELECT drawing, NULL, 'I001', 'info', 'no_boundaries' FROM s WHERE drawing NOT IN (SELECT page FROM b)")
