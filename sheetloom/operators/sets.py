@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import graphs
 from .selection import top_k
 
 
@@ -91,15 +92,41 @@ def locked_rows(rows: DataFrame, columns: list[str], order: str, most: int = 50)
 
 
 def shuffled_split(rows: DataFrame, key: str, shares: dict[str, float], seed: int) -> DataFrame:
-    """(key, split): rows in the order of a seeded hash, cut by shares; exact to a row in expectation, and stable under reruns.
-
-    Each row's place is its hash as a part of the hash range, so no row needs to know the others."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) + 0.5) / (1 << 40)
-    edge, out = 0.0, None
-    for name, share in shares.items():
+    """(key, split): rows in the order of a seeded hash, then key, cut after the whole numbers of rows that the sums of shares give;
+    the last split takes what is left. Stable under reruns; equal keys are rows of their own.
+
+    Two counts by parts of the hash, of 2**14 groups each, find the hash cells of the cuts; only the rows of these cells, a few in
+    2**28, are ordered."""
+    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40))
+    r = graphs.written(rows.select(F.col(key).alias("k"), h.alias("h")).withColumn("cell", F.shiftright("h", 12)))
+    high = F.shiftright("cell", 14)
+
+    def counted(part: DataFrame, by: Column) -> list[tuple[int, int]]:
+        return sorted((x["p"], x["count"]) for x in part.groupBy(by.alias("p")).count().collect())
+
+    def find(counts: list[tuple[int, int]], cut: int) -> tuple[int, int]:
+        """The group that holds the cut-th row, and how many rows of it come before the cut."""
+        for p, n in counts:
+            if cut <= n:
+                return p, cut
+            cut -= n
+        raise ValueError("shares are over 1")
+
+    first = counted(r, high)
+    total, edge, cuts = sum(n for _, n in first), 0.0, []
+    for share in list(shares.values())[:-1]:
         edge += share
-        out = F.when(u < edge, name) if out is None else out.when(u < edge, name)
-    return rows.select(key, out.otherwise(name).alias("split"))
+        cuts.append(int(total * edge + 1e-9))
+    tops = [find(first, c) if c else None for c in cuts]
+    own = {p: counted(r.filter(high == p), F.col("cell")) for p in {t[0] for t in tops if t}}
+    at = [find(own[t[0]], t[1]) if t else (-1, 0) for t in tops]
+    met = F.col("cell").isin([c for c, _ in at])
+    rank = F.row_number().over(W.partitionBy("cell").orderBy("h", "k"))
+    ranked = r.filter(met).withColumn("rank", rank).unionByName(r.filter(~met).withColumn("rank", F.lit(0)))
+    split = F.lit(list(shares)[-1])
+    for name, (cell, n) in reversed(list(zip(shares, at, strict=False))):
+        split = F.when((F.col("cell") < cell) | ((F.col("cell") == cell) & (F.col("rank") <= n)), name).otherwise(split)
+    return ranked.select(F.col("k").alias(key), split.alias("split"))
 
 
 def manifest_hash(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph_features, routing
+from ..operators import graph_features, routing, symbols
 from ..sources import entities
 from ..streaming import updates
 from .tables import BOXES, SEGMENTS, boxes, read, segments
@@ -151,3 +151,17 @@ def stm_06_updates(spark, d):
     wide = F.when(op == "view", 150.0).otherwise(6.0)
     e = read(spark, d, "events").select("user_id", i.alias("seq"), op.alias("op"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), i.alias("entity"), (i % 5 % 4).cast("int").alias("priority"), F.when(i % 3 == 0, 21600.0).alias("lasts"), v.alias("x0"), (v * 7 % 200).alias("y0"), (v + wide).alias("x1"), (v * 7 % 200 + wide).alias("y1"))
     return updates.update_results(e, "user_id", 16, 8)
+
+
+#: Shapes of eight by eight pixels.
+TEMPLATES = {"ring": [(i % 8, i // 8) for i in range(64) if {i % 8, i // 8} & {0, 7}], "slash": [(i, 7 - i) for i in range(8)], "corner": [(0, 0), (1, 0), (0, 1)]}
+_SHAPES = ", ".join(f"('{n}', {x}, {y})" for n, p in TEMPLATES.items() for x, y in p)
+
+
+@register("ra_26_symbols", f"""WITH g AS (SELECT vec_id AS image, unnest(range(len(embedding))) AS k, least(255, greatest(0, floor(unnest(embedding)::DOUBLE * 400 + 128))) AS v FROM embeddings), p AS (SELECT image, k % 8 AS x, k // 8 AS y FROM g WHERE v < 128), t(symbol, x, y) AS (VALUES {_SHAPES}),
+d AS (SELECT image, symbol, p.x AS px, p.y AS py, t.x AS tx, t.y AS ty, sqrt((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)) AS d FROM p, t), a AS (SELECT image, symbol, min(d) AS d FROM d GROUP BY image, symbol, px, py UNION ALL SELECT image, symbol, min(d) FROM d GROUP BY image, symbol, tx, ty)
+SELECT image, symbol, round(1 - max(d) / 32, 6) AS confidence FROM a GROUP BY image, symbol HAVING 1 - max(d) / 32 >= 0.85""")
+def ra_26_symbols(spark, d):
+    grey = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 400 + 128))).cast("int"))
+    images = read(spark, d, "embeddings").select(F.col("vec_id").alias("image"), grey.alias("grey"))
+    return symbols.detect(images, 8, TEMPLATES, 0.85).select("image", "symbol", F.round("confidence", 6).alias("confidence"))

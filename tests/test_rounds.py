@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sheetloom.operators import drawing, selection
+from sheetloom.operators import drawing, selection, sets, symbols
 
 
 @pytest.mark.parametrize("shape", ["walk", "flat", "grid"])
@@ -69,3 +70,36 @@ def test_holes_of_rings_of_few_points(spark):
     rows = [(0, 1, "outer", p((0, 0), (10, 0), (10, 10), (0, 10))), (0, 2, "hole", p((20, 20), (21, 20), (21, 21))), (0, 3, "hole", p((1, 1))), (0, 4, "hole", []), (0, 5, "hole", p((2, 2), (4, 2), (3, 4))), (0, 6, "hole", p((3, 3), (6, 3), (6, 6)))]
     got = validation.check_holes(spark.createDataFrame(rows, "drawing int, ring_id int, role string, points array<struct<x:double,y:double>>")).select("ring_id", "code").orderBy("ring_id", "code")
     assert [tuple(r) for r in got.collect()] == [(2, "E004"), (4, "E004"), (6, "E006")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 5003])
+def test_split_is_exact(spark, n):
+    d = spark.range(n).select((F.col("id") % 4000).alias("k"))
+    shares = {"dev": 0.1, "none": 0.0, "locked": 0.25, "train": 0.65}
+    once, again = (sorted((r.k, r.split) for r in sets.shuffled_split(d.repartition(parts), "k", shares, 7).collect()) for parts in (1, 6))
+    size = {s: sum(r[1] == s for r in once) for s in shares}
+    assert once == again and size == {"dev": n // 10, "none": 0, "locked": int(n * 0.35) - n // 10, "train": n - int(n * 0.35)}
+    if n > 5000:
+        assert [r[0] for r in once] == sorted(i % 4000 for i in range(n)) and once != sorted((r.k, r.split) for r in sets.shuffled_split(d, "k", shares, 8).collect())
+
+
+def test_symbols_by_distance(spark):
+    """Against the definition, point by point; over 64 dark pixels are thinned by steps."""
+    rng = random.Random(3)
+    width, images = 12, []
+    for i, dark in enumerate((0.0, 0.05, 0.3, 1.0, 0.7)):
+        images.append((i, [rng.randrange(128) if rng.random() < dark else rng.randrange(128, 256) for _ in range(width * 12)]))
+    templates = {"cross": [(k, 6) for k in range(12)] + [(6, k) for k in range(12)], "dot": [(5, 5)], "none": []}
+    want = {}
+    for i, grey in images:
+        p = [(k % width, k // width) for k, v in enumerate(grey) if v < 128]
+        p = p[:: len(p) // 64][:64] if len(p) > 64 else p
+        for name, q in templates.items():
+            if p and q:
+                d = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
+                far = max(max(min(d(a, b) for b in q) for a in p), max(min(d(a, b) for a in p) for b in q))
+                want[i, name] = round(1 - far / 32, 9)
+    d = spark.createDataFrame([*images, (9, None)], "image int, grey array<int>")
+    got = {(r.image, r.symbol): round(r.confidence, 9) for r in symbols.detect(d, width, templates, 0.0).collect()}
+    assert got == want and len(want) == 8
+    assert {(r.image, r.symbol) for r in symbols.detect(d, width, templates, 0.8).collect()} == {k for k, v in want.items() if v >= 0.8}
