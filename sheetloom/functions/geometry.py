@@ -194,3 +194,20 @@ def on_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: C
     area = (px - x0) * (y1 - y0) - (py - y0) * (x1 - x0)
     inside = lambda p, a, b: (p >= F.least(a, b) - tol) & (p <= F.greatest(a, b) + tol)
     return inside(px, x0, x1) & inside(py, y0, y1) & (F.abs(area) <= tol)
+
+
+def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, box: list[float]) -> Column:
+    """The part of a segment within a box, as a struct x0, y0, x1, y1, touching included; null where they do not meet.
+
+    Shares of the segment between the box's sides are cut with each other; a segment along an axis lies between that
+    axis' sides as a whole or not at all."""
+
+    def between(p: Column, d: Column, lo: float, hi: float) -> tuple[Column, Column]:
+        a, b = F.try_divide(lo - p, d), F.try_divide(hi - p, d)
+        return F.when(d != 0, F.least(a, b)).when(p.between(lo, hi), 0.0).otherwise(2.0), F.when(d != 0, F.greatest(a, b)).otherwise(1.0)
+
+    dx, dy = x1 - x0, y1 - y0
+    (ex, lx), (ey, ly) = between(x0, dx, box[0], box[2]), between(y0, dy, box[1], box[3])
+    enter, leave = F.greatest(F.lit(0.0), ex, ey), F.least(F.lit(1.0), lx, ly)
+    whole = lambda t, own, other, d: F.when(t == 1, other).otherwise(own + d * t)
+    return F.when(enter <= leave, F.struct(whole(enter, x0, x1, dx).alias("x0"), whole(enter, y0, y1, dy).alias("y0"), whole(leave, x0, x1, dx).alias("x1"), whole(leave, y0, y1, dy).alias("y1")))

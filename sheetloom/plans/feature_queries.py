@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..operators import graph_features, routing, symbols
 from ..sources import entities
 from ..streaming import updates
@@ -165,3 +166,14 @@ def ra_26_symbols(spark, d):
     grey = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 400 + 128))).cast("int"))
     images = read(spark, d, "embeddings").select(F.col("vec_id").alias("image"), grey.alias("grey"))
     return symbols.detect(images, 8, TEMPLATES, 0.85).select("image", "symbol", F.round("confidence", 6).alias("confidence"))
+
+
+@register("flt_20_clipped_lines", f"""WITH {SEGMENTS}, d AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM segments),
+t AS (SELECT *, CASE WHEN dx > 0 THEN (-60 - x0) / dx WHEN dx < 0 THEN (40 - x0) / dx WHEN x0 BETWEEN -60 AND 40 THEN 0 ELSE 2 END AS a, CASE WHEN dx > 0 THEN (40 - x0) / dx WHEN dx < 0 THEN (-60 - x0) / dx ELSE 1 END AS b,
+    CASE WHEN dy > 0 THEN (-30 - y0) / dy WHEN dy < 0 THEN (70 - y0) / dy WHEN y0 BETWEEN -30 AND 70 THEN 0 ELSE 2 END AS c, CASE WHEN dy > 0 THEN (70 - y0) / dy WHEN dy < 0 THEN (-30 - y0) / dy ELSE 1 END AS e FROM d),
+m AS (SELECT *, greatest(0, a, c) AS t0, least(1, b, e) AS t1 FROM t)
+SELECT id, round(x0 + dx * t0, 6) AS x0, round(y0 + dy * t0, 6) AS y0, round(CASE WHEN t1 = 1 THEN x1 ELSE x0 + dx * t1 END, 6) AS x1, round(CASE WHEN t1 = 1 THEN y1 ELSE y0 + dy * t1 END, 6) AS y1 FROM m WHERE t0 <= t1""")
+def flt_20_clipped_lines(spark, d):
+    part = g.clip_segment(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), [-60.0, -30.0, 40.0, 70.0])
+    s = segments(spark, d).select("id", part.alias("p")).filter("p is not null")
+    return s.select("id", *(F.round(f"p.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")))

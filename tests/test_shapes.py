@@ -66,3 +66,30 @@ def test_junctions_and_spurs(spark):
 def test_mask_boxes(spark, sf):
     got = drawing_queries.QUERIES["ra_34_mask_boxes"](spark, sf).collect()
     assert got and all(2 <= r.n <= 40 and r.n <= (r.r1 - r.r0 + 1) * (r.c1 - r.c0 + 1) for r in got)
+
+
+def test_clipped_segments(spark):
+    """Points along a segment lie in the box if and only if they lie between the ends of its clipped part."""
+    import random
+
+    from sheetloom.functions import geometry as g
+
+    rng = random.Random(8)
+    box, rows = [2.0, 3.0, 8.0, 7.0], []
+    for i in range(300):
+        p = [float(rng.randint(0, 10)) for _ in range(4)]
+        rows.append((i, *(p if i % 3 else [p[0], p[1], p[0], p[3]])))
+    d = spark.createDataFrame(rows, "id int, x0 double, y0 double, x1 double, y1 double")
+    got = {r.id: r.p for r in d.select("id", g.clip_segment(*map(F.col, ("x0", "y0", "x1", "y1")), box).alias("p")).collect()}
+    assert sum(p is None for p in got.values()) > 50
+    for i, x0, y0, x1, y1 in rows:
+        inside = [k / 840 for k in range(841) if 2 - 1e-9 <= x0 + (x1 - x0) * k / 840 <= 8 + 1e-9 and 3 - 1e-9 <= y0 + (y1 - y0) * k / 840 <= 7 + 1e-9]
+        if got[i] is None:
+            assert not inside
+        else:
+            at = lambda t: (x0 + (x1 - x0) * t, y0 + (y1 - y0) * t)  # noqa: E731, B023
+            step = max(abs(x1 - x0), abs(y1 - y0)) / 840 + 1e-9
+            p = got[i]
+            assert 2 - 1e-9 <= min(p.x0, p.x1) and max(p.x0, p.x1) <= 8 + 1e-9 and 3 - 1e-9 <= min(p.y0, p.y1) and max(p.y0, p.y1) <= 7 + 1e-9
+            if inside:
+                assert max(abs(a - b) for a, b in zip((p.x0, p.y0, p.x1, p.y1), (*at(inside[0]), *at(inside[-1])), strict=True)) <= step
