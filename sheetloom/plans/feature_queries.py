@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import graph_features, routing, symbols
+from ..operators import graph_features, json_values, routing, symbols
 from ..sources import entities
 from ..streaming import updates
 from .tables import BOXES, SEGMENTS, boxes, read, segments
@@ -177,3 +177,13 @@ def flt_20_clipped_lines(spark, d):
     part = g.clip_segment(*(F.col(c) for c in ("x0", "y0", "x1", "y1")), [-60.0, -30.0, 40.0, 70.0])
     s = segments(spark, d).select("id", part.alias("p")).filter("p is not null")
     return s.select("id", *(F.round(f"p.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
+
+
+@register("sf_16_json_values", """WITH e AS (SELECT event_id AS id, '"' || event_type || '"' AS t, replace(props, ' ', '') AS p FROM events WHERE props IS NOT NULL AND event_type IS NOT NULL),
+d AS (SELECT *, '[' || t || ',' || id || ',{"c":null}]' AS b FROM e), v AS (SELECT id, unnest([('', '$', 'object', '{"a":' || p || ',"b":' || b || ',"d":[],"f":' || (id % 2 = 0)::VARCHAR || '}'), ('0', '$.a', 'object', p), ('0,0', '$.a.k', 'number', p[6:-2]), ('1', '$.b', 'array', b), ('1,0', '$.b[0]', 'string', t), ('1,1', '$.b[1]', 'number', id::VARCHAR),
+    ('1,2', '$.b[2]', 'object', '{"c":null}'), ('1,2,0', '$.b[2].c', 'null', 'null'), ('2', '$.d', 'array', '[]'), ('3', '$.f', 'boolean', (id % 2 = 0)::VARCHAR)]) AS r FROM d) SELECT id, r[1] AS place, r[2] AS path, r[3] AS kind, r[4] AS value FROM v""")
+def sf_16_json_values(spark, d):
+    i = F.col("event_id").cast("string")
+    text = F.concat(F.lit('{"f": '), (F.col("event_id") % 2 == 0).cast("string"), F.lit(', "b": ["'), "event_type", F.lit('", '), i, F.lit(', {"c": null}], "a": '), "props", F.lit(', "d": [ ]}'))
+    w = json_values.walk_values(read(spark, d, "events").select(F.col("event_id").alias("id"), text.alias("t")), "id", "t")
+    return w.withColumn("place", F.concat_ws(",", F.transform("place", lambda p: p.cast("string"))))
