@@ -17,8 +17,6 @@ BITS = 12
 DISCOUNT = 0.75
 #: Grams that the model keeps, shared evenly by the languages, and the least share of a language.
 MODEL_GRAMS, LEAST_GRAMS = 1 << 20, 20_000
-#: Labelled documents, about, on which temperature and rejection limits are set.
-CALIBRATION_DOCS = 4000
 TEMPERATURES = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
 #: A document is rejected if its cross-entropy is over its language's mean by both of these: nats, and deviations at its length.
 REJECT_NATS, REJECT_DEVIATIONS = 1.0, 6.0
@@ -188,7 +186,7 @@ def _levels(counts: DataFrame) -> DataFrame:
     return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", model_grams: int = MODEL_GRAMS, least_grams: int = LEAST_GRAMS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model_grams: int = MODEL_GRAMS, least_grams: int = LEAST_GRAMS) -> Model:
     """Fit models on all rows of docs whose text and language are not null.
 
     All counts come from every whole text. A finished language keeps the grams that occur most often, of
@@ -196,8 +194,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     symbols always stay. A gram occurs no oftener than the shorter grams in it, so with a gram all that it
     backs off to is kept. Back-off weights take the mass of what was pruned, so chances still sum to one.
     A language's share does not depend on the other languages' texts, so rare ones lose nothing. Temperature
-    and limits are set on about CALIBRATION_DOCS of the rows, picked by a hash. Nothing learned gives a
-    model without languages."""
+    and limits are set on all the rows. Nothing learned gives a model without languages."""
     every = materialise(_levels(materialise(_gram_counts(docs, text_col, lang_col))))
     step = F.floor(F.log2("raw") * 8).cast("int")
     ranks: dict[str, list] = {}
@@ -231,7 +228,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         own = [[_sorted(t, j, k) for t in tables] for k in range(1, ORDER + 1)]
         model.orders[lang] = [(*a, *b) for a, b in own]
         model.symbols[lang] = len(own[0][0][0]) + 1
-    _calibrate(model, docs, text_col, lang_col, id_col, spark)
+    _calibrate(model, docs, text_col, lang_col, spark)
     return model
 
 
@@ -242,28 +239,48 @@ def _sorted(table: list[np.ndarray], lang: int, k: int) -> tuple[np.ndarray, np.
     return gram[order], p[order]
 
 
-def _calibrate(model: Model, docs: DataFrame, text_col: str, lang_col: str, id_col: str, spark) -> None:
+def _calibrate(model: Model, docs: DataFrame, text_col: str, lang_col: str, spark) -> None:
+    """Set temperature and limits on all rows: losses, symbols, means and squares of each task and language are added up."""
     langs, shared = model.langs, spark.sparkContext.broadcast(model)
-    share = max(1, docs.count() // CALIBRATION_DOCS)
-    picked = docs.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(share)) == 0).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
+    picked = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
 
     def work(batches):
+        held = {}
         for batch in batches:
             for b in slices(iter([batch]), 0, SLICE_BYTES):
                 ce, size = shared.value.entropies(b.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(size, pa.int64()), pa.array(list(ce), pa.list_(pa.float64()))], names=["lang", "size", "ce"])
-
-    seen = map_rows(picked, work, "lang string, size bigint, ce array<double>").filter("size > 0").toArrow().to_pandas()
-    model.limits = {}
-    if not len(seen):
-        return
-    ce, own, size = np.stack(seen["ce"]), seen["lang"].map(langs.index).to_numpy(), seen["size"].to_numpy()
-    model.temperature = min(TEMPERATURES, key=lambda t: -np.log(np.maximum(_chances(ce, t)[np.arange(len(own)), own], 1e-9)).mean())
-    for j, lang in enumerate(langs):
-        x = ce[own == j, j]
-        if len(x) > 1:
-            mean = float(np.average(x, weights=size[own == j]))
-            model.limits[lang] = (mean, float(np.sqrt(np.mean((x - mean) ** 2 * size[own == j]))))
+                own = np.fromiter(map(langs.index, b.column(1).to_pylist()), np.int64, len(size))
+                ce, own, size = ce[size > 0], own[size > 0], size[size > 0]
+                loss = np.stack([-np.log(np.maximum(_chances(ce, t)[np.arange(len(own)), own], 1e-9)) for t in TEMPERATURES], axis=1)
+                for j in np.unique(own):
+                    mine = own == j
+                    held[j] = _merged(held.get(j), _moments(ce[mine, j], size[mine], loss[mine]))
+        cols = list(zip(*[(langs[j], *m[:4], m[4].tolist()) for j, m in held.items()], strict=True)) or [[]] * 6
+        types = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["lang", "n", "weight", "mean", "square", "loss"])
+
+    parts = map_rows(picked, work, "lang string, n bigint, weight bigint, mean double, square double, loss array<double>")
+    weight, mean, total = F.col("weight"), F.col("mean"), F.sum("weight")
+    between = F.greatest(F.lit(0.0), F.sum(weight * mean * mean) - F.sum(weight * mean) * F.sum(weight * mean) / total)
+    losses = [F.sum(F.col("loss")[k]).alias(f"loss{k}") for k in range(len(TEMPERATURES))]
+    seen = parts.groupBy("lang").agg(F.sum("n").alias("n"), (F.sum(weight * mean) / total).alias("mean"), (F.sum("square") + between).alias("square"), *losses).collect()
+    model.limits = {r["lang"]: (r["mean"], float(np.sqrt(r["square"] / r["n"]))) for r in seen if r["n"] > 1}
+    if seen:
+        model.temperature = TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda k: sum(r[f"loss{k}"] for r in seen))]
+
+
+def _moments(x: np.ndarray, weight: np.ndarray, loss: np.ndarray) -> tuple:
+    """Number, weight, weighted mean, weighted squares about it, and sums of losses."""
+    mean = float(np.average(x, weights=weight))
+    return len(x), int(weight.sum()), mean, float(((x - mean) ** 2 * weight).sum()), loss.sum(axis=0)
+
+
+def _merged(x: tuple | None, y: tuple) -> tuple:
+    if x is None:
+        return y
+    weight = x[1] + y[1]
+    step = y[2] - x[2]
+    return x[0] + y[0], weight, x[2] + step * y[1] / weight, x[3] + y[3] + step * step * x[1] * y[1] / weight, x[4] + y[4]
 
 
 def _chances(ce: np.ndarray, temperature: float) -> np.ndarray:

@@ -375,6 +375,22 @@ def test_language_budgets(spark):
     assert seen[500] > 0.85 and abs(seen[20_000] - seen[1 << 21]) <= 0.01
 
 
+def test_language_limits_come_from_all_rows(spark):
+    """Temperature and limits are those of every labelled row, of a table larger than any sample that once stood for it."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join("".join(rng.choice(list("abcdefgh" if k % 2 else "efghijkl"), 4)) for _ in range(int(rng.integers(1, 5)))), "xy"[k % 2]) for k in range(9000)]
+    rows += [(9000, "", "x"), (9001, None, "y"), (9002, "abc", None)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    ce, size = model.entropies([r[1] for r in rows[:9000]])
+    own = np.arange(9000) % 2
+    loss = [-np.log(np.maximum(language_id._chances(ce, t)[np.arange(9000), own], 1e-9)).sum() for t in language_id.TEMPERATURES]
+    assert model.temperature == language_id.TEMPERATURES[int(np.argmin(loss))]
+    for j, lang in enumerate("xy"):
+        x, n = ce[own == j, j], size[own == j]
+        mean = np.average(x, weights=n)
+        assert model.limits[lang] == pytest.approx((mean, np.sqrt(np.mean((x - mean) ** 2 * n))), rel=1e-9)
+
+
 def test_pipeline_matches_stages(spark, sf, docs):
     import corpus_pipeline
 
