@@ -403,3 +403,21 @@ def test_passages_find_fuzzy_pairs(spark):
         assert {r.doc_id // 2} == {r.other_id // 2}
         pairs[min(r.doc_id, r.other_id)] += r.end - r.start
     assert len(pairs) >= 180 and np.mean(list(pairs.values())) > 80
+
+
+@pytest.mark.parametrize("hot", (64, 0))
+def test_passages_link_every_pair(spark, monkeypatch, hot):
+    """Pairs whose only seeds lie in a line of very many texts, and that share no run of LEAST_WORDS words, are all found."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", hot)
+    rng = np.random.default_rng(31)
+    some = lambda n: [f"w{rng.integers(1 << 30):x}" for _ in range(n)]
+    line, texts = some(30), []
+    for _ in range(40):
+        beside = [some(6) for _ in range(4)]
+        for _ in range(2):
+            texts.append(some(15) + line + [x for part in beside for x in [*some(1), *part]] + some(15))
+    texts += [some(20) + line + some(20) for _ in range(120)]
+    order = rng.permutation(len(texts))
+    d = spark.createDataFrame([(int(i), " ".join(texts[i])) for i in order], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(d).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in found} == {(k, k + 1) for k in range(0, 80, 2)}
