@@ -406,6 +406,22 @@ def test_pipeline_matches_stages(spark, sf, docs):
     assert len(stay) >= 0.7 * len(docs)
 
 
+def test_language_stage_learns_limits_from_all_rows(spark, sf, monkeypatch):
+    """The pipeline's model has the limits of every training row."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = [(k, " ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(int(rng.integers(1, 4)))), "x") for k in range(10_600)]
+    seen, keep = [], language_id.keep_identified
+    monkeypatch.setattr(language_id, "keep_identified", lambda docs, model: seen.append(model) or keep(docs, model))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    assert corpus_pipeline.language(spark, table, sf).count() > 10_000
+    ce, size = seen[0].entropies([r.text for r in language_id.training_rows(table).collect()])
+    mean = np.average(ce[:, 0], weights=size)
+    assert len(size) > 8000
+    assert seen[0].limits["x"] == pytest.approx((mean, np.sqrt(np.mean((ce[:, 0] - mean) ** 2 * size))), rel=1e-9)
+
+
 def test_stages_take_odd_rows(spark, odd, sf):
     """Every stage over nulls, empty and long texts, repeated rows, clashing names and an empty table."""
     import corpus_pipeline
