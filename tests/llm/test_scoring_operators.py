@@ -421,3 +421,20 @@ def test_passages_link_every_pair(spark, monkeypatch, hot):
     d = spark.createDataFrame([(int(i), " ".join(texts[i])) for i in order], "doc_id long, text string")
     found = substring_dedup.repeated_passages(d).collect()
     assert {tuple(sorted((r.doc_id, r.other_id))) for r in found} == {(k, k + 1) for k in range(0, 80, 2)}
+
+
+@pytest.mark.parametrize("hot", (8, 0))
+def test_passages_link_classes_without_all_pairs(spark, monkeypatch, hot):
+    """Texts that one template gave, and texts with stretches of one word, are linked by far fewer matches than they have pairs."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", hot)
+    rng = np.random.default_rng(17)
+    some = lambda n: [f"w{rng.integers(1 << 30):x}" for _ in range(n)]
+    template, line, n = some(140), some(25), 150
+    kinds = [lambda: some(20) + [x if rng.random() > 1 / 30 else some(1)[0] for x in template], lambda: some(20) + ["the"] * int(rng.integers(60, 90)) + some(20), lambda: some(30) + line + some(30)]
+    d = spark.createDataFrame([(k * n + i, " ".join(kind())) for k, kind in enumerate(kinds) for i in range(n)], "doc_id long, text string")
+    assert substring_dedup.seed_matches(d).count() < 3 * n * 60
+    edges = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(d).collect()}
+    group = list(range(3 * n))
+    for b, a in edges:
+        group = [group[a] if x == group[b] else x for x in group]
+    assert len(set(group[:n])) == 1 and len(set(group[n : 2 * n])) == 1 and len(set(group)) == 2 + n
