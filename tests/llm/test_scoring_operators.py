@@ -1,12 +1,14 @@
 """Brute-force checks of URL filters, quality rules, toxicity, context mixing and repeated passages."""
 
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from math import log10
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -438,3 +440,47 @@ def test_passages_link_classes_without_all_pairs(spark, monkeypatch, hot):
     for b, a in edges:
         group = [group[a] if x == group[b] else x for x in group]
     assert len(set(group[:n])) == 1 and len(set(group[n : 2 * n])) == 1 and len(set(group)) == 2 + n
+
+
+def test_seeds_of_many_texts_at_once(spark, monkeypatch):
+    """Seeds come from the words of many texts together, in far fewer steps than texts, and are those of each text alone."""
+    texts = ["", " ", "a b c d e f g h", "the " * 90, "x y z " * 30 + "end", "\x1c\x0b a B \u00a0 \u0130" * 12, "a b c d e f g h"]
+    rng = np.random.default_rng(8)
+    texts += [" ".join(rng.choice(["a", "b", "c"], int(rng.integers(70)))) for _ in range(300)]
+    texts += [" ".join(f"w{x}" for x in rng.integers(1 << 30, size=int(rng.integers(60)))) for _ in range(1000)]
+    works = []
+    monkeypatch.setattr(substring_dedup, "map_rows", lambda df, work, schema: works.append(work))
+    substring_dedup.seed_rows(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    batch = lambda own: pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([texts[i] for i in own])], names=["text_id", "text"])
+    found = lambda batches: [tuple(r.values()) for b in works[0](iter(batches)) for r in b.to_pylist()]
+    alone = [r for i in range(len(texts)) for r in found([batch([i])])]
+    steps = Counter()
+    sys.setprofile(lambda frame, event, arg: steps.update([event]))
+    together = list(works[0](iter([batch(range(len(texts) - 1000, len(texts)))])))
+    sys.setprofile(None)
+    assert sum(b.num_rows for b in together) > 1000 and steps["call"] + steps["c_call"] < 10 * 1000
+    assert len(alone) > 2000 and sorted(found([batch(range(len(texts)))])) == sorted(alone)
+    for i in range(0, len(texts), 7):
+        words = substring_dedup.words_of(texts[i])
+        mine = [(r[0], words[r[2] >> 32 :][:8]) for r in alone if r[1] == i]
+        assert all(len(w) == 8 for _, w in mine) and len({s for s, _ in mine}) == len({tuple(w) for _, w in mine})
+        assert bool(mine) == (len(words) >= 8)
+
+
+def test_gaps_align_as_the_usual_table():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        x, y = ([b"%d" % k for k in rng.integers(6, size=int(rng.integers(60)))] for _ in range(2))
+        table = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, p in enumerate(x):
+            for k, q in enumerate(y):
+                table[i + 1, k + 1] = table[i, k] + 1 if p == q else max(table[i, k + 1], table[i + 1, k])
+        want = table[-1, -1] if len(x) != len(y) else sum(p == q for p, q in zip(x, y, strict=True))
+        assert substring_dedup._common(x, y) == want
+
+
+def test_copies_are_not_read_for_their_words_again(spark):
+    d = spark.createDataFrame([(1, "a b " * 30), (2, "a b " * 30), (3, "c")], "doc_id long, text string")
+    found = substring_dedup.repeated_passages(d)
+    assert "regexp" not in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in found.collect()] == [(2, 1, 0, 60, 0, 60, 60)]
