@@ -32,25 +32,24 @@ def near_pairs(points: DataFrame, tol: float, id_col: str = "id", strict: bool =
 
 def overlap_pairs(left: DataFrame, right: DataFrame, cell: float = 100.0, pad: float = 0.0) -> DataFrame:
     """Joins two box tables (x0, y0, x1, y1 and more columns, right ones prefixed r_) where the boxes, right
-    ones padded, meet.
+    ones padded, meet. The boxes come as they are: padding and taking it off again would change their last digits.
 
     A box is listed under the cells it touches on the grid of its own size, four at most. A left box
     looks its cells up on every level that the right side has. A pair is given once, by the cell at the
     lower corner of its common part."""
     r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
-    r = r.withColumns({"r_x0": F.col("r_x0") - pad, "r_y0": F.col("r_y0") - pad, "r_x1": F.col("r_x1") + pad, "r_y1": F.col("r_y1") + pad})
-    side = F.greatest(F.col("r_x1") - F.col("r_x0"), F.col("r_y1") - F.col("r_y0"), F.lit(cell))
+    lo_x, lo_y, hi_x, hi_y = F.col("r_x0") - pad, F.col("r_y0") - pad, F.col("r_x1") + pad, F.col("r_y1") + pad
+    side = F.greatest(hi_x - lo_x, hi_y - lo_y, F.lit(cell))
     r = r.withColumn("level__", F.least(F.lit(LEVELS), F.ceil(F.log2(side / cell))).cast("int"))
     levels = sorted(x[0] for x in r.select("level__").distinct().collect())
     size = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
     span = lambda lo, hi, level: F.sequence(F.floor(lo / size(level)), F.floor(hi / size(level)))
-    r = r.withColumn("cell_x__", F.explode(span(F.col("r_x0"), F.col("r_x1"), F.col("level__")))).withColumn("cell_y__", F.explode(span(F.col("r_y0"), F.col("r_y1"), F.col("level__"))))
+    r = r.withColumn("cell_x__", F.explode(span(lo_x, hi_x, F.col("level__")))).withColumn("cell_y__", F.explode(span(lo_y, hi_y, F.col("level__"))))
     l = left.withColumn("level__", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
     l = l.withColumn("cell_x__", F.explode(span(F.col("x0"), F.col("x1"), F.col("level__")))).withColumn("cell_y__", F.explode(span(F.col("y0"), F.col("y1"), F.col("level__"))))
-    meet = (F.col("x0") <= F.col("r_x1")) & (F.col("r_x0") <= F.col("x1")) & (F.col("y0") <= F.col("r_y1")) & (F.col("r_y0") <= F.col("y1"))
-    once = (F.floor(F.greatest("x0", "r_x0") / size(F.col("level__"))) == F.col("cell_x__")) & (F.floor(F.greatest("y0", "r_y0") / size(F.col("level__"))) == F.col("cell_y__"))
-    out = l.join(r, ["level__", "cell_x__", "cell_y__"]).filter(meet & once).drop("level__", "cell_x__", "cell_y__")
-    return out.withColumns({"r_x0": F.col("r_x0") + pad, "r_y0": F.col("r_y0") + pad, "r_x1": F.col("r_x1") - pad, "r_y1": F.col("r_y1") - pad}) if pad else out
+    meet = (F.col("x0") <= hi_x) & (lo_x <= F.col("x1")) & (F.col("y0") <= hi_y) & (lo_y <= F.col("y1"))
+    once = (F.floor(F.greatest(F.col("x0"), lo_x) / size(F.col("level__"))) == F.col("cell_x__")) & (F.floor(F.greatest(F.col("y0"), lo_y) / size(F.col("level__"))) == F.col("cell_y__"))
+    return l.join(r, ["level__", "cell_x__", "cell_y__"]).filter(meet & once).drop("level__", "cell_x__", "cell_y__")
 
 
 def with_envelope(segments: DataFrame) -> DataFrame:

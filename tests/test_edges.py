@@ -29,3 +29,13 @@ def test_every_crossing_ends_a_piece(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "gr_05_split", lines)
     assert got == want
     assert {r[0]: r[1] for r in got} == {0: 4, 1: 3, 2: 4, 3: 3, 4: 1}
+
+
+def test_padded_boxes_come_back_unchanged(spark):
+    rnd = random.Random(5)
+    rows = [(i, *(round(rnd.uniform(0, 300), 1) for _ in range(2)), round(rnd.uniform(20, 90), 1), round(rnd.uniform(20, 90), 1)) for i in range(200)]
+    b = spark.createDataFrame(rows, "id long, x0 double, y0 double, w double, h double").selectExpr("id", "x0", "y0", "x0 + w as x1", "y0 + h as y1")
+    own = {r.id: tuple(r)[1:] for r in b.collect()}
+    p = spatial.overlap_pairs(b, b, 50.0, pad=10.0).collect()
+    assert len(p) > 1000
+    assert all((r.r_x0, r.r_y0, r.r_x1, r.r_y1) == own[r.r_id] for r in p)
