@@ -96,6 +96,11 @@ def containment(inner: list[Column], outer: list[Column]) -> Column:
     return box_intersection(inner, outer) / F.greatest(F.lit(1e-9), box_area(*inner))
 
 
+def box_within(inner: list[Column], outer: list[Column]) -> Column:
+    """Whether a box lies in another one, sides that touch included."""
+    return (inner[0] >= outer[0]) & (inner[1] >= outer[1]) & (inner[2] <= outer[2]) & (inner[3] <= outer[3])
+
+
 def centre(box: list[Column]) -> tuple[Column, Column]:
     return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
 

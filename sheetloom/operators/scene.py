@@ -163,7 +163,7 @@ def room_of_label(rooms: DataFrame, labels: DataFrame, reach: float) -> DataFram
     gap = lambda i, c: F.greatest(F.lit(0.0), F.col(f"r_{BOX[i]}") - c, c - F.col(f"r_{BOX[i + 2]}"))
     d = F.sqrt(gap(0, x) * gap(0, x) + gap(1, y) * gap(1, y))
     ring = F.coalesce(g.point_in_ring(x, y, F.col("r_points")), F.lit(False))
-    whole = g.containment(_box(), _box("r_")) >= 1 - 1e-12
+    whole = g.box_within(_box(), _box("r_"))
     method = F.when(ring, "polygon").when((d == 0) & F.col("r_points").isNotNull(), "box_polygon_miss").when((d == 0) & whole, "box_whole").when(d == 0, "box_centre").when(d <= reach, "near")
     rows = p.select("page", F.col("id").alias("label"), F.col("r_id").alias("room"), method.alias("method"), F.when(ring, 0.0).otherwise(d).alias("d"), g.box_area(*_box("r_")).alias("area")).filter("method is not null")
     return top_k(rows, ["page", "label"], ["d", "area", "room"], 1).drop("area")

@@ -39,3 +39,11 @@ def test_padded_boxes_come_back_unchanged(spark):
     p = spatial.overlap_pairs(b, b, 50.0, pad=10.0).collect()
     assert len(p) > 1000
     assert all((r.r_x0, r.r_y0, r.r_x1, r.r_y1) == own[r.r_id] for r in p)
+
+
+def test_label_that_sticks_out_is_not_whole(spark):
+    box = "page long, id long, x0 double, y0 double, x1 double, y1 double"
+    rooms = spark.createDataFrame([(0, 1, 1e-12, 0.0, 50.0, 50.0), (1, 2, 0.0, 0.0, 50.0, 50.0)], box).withColumn("points", F.lit(None).cast("array<struct<x:double,y:double>>"))
+    labels = spark.createDataFrame([(0, 8, 0.0, 1.0, 10.0, 2.0), (1, 9, 0.0, 1.0, 10.0, 2.0)], box)
+    got = {r.label: r.method for r in scene.room_of_label(rooms, labels, 25.0).collect()}
+    assert got == {8: "box_centre", 9: "box_whole"}
