@@ -51,6 +51,18 @@ def point_in_ring(x: Column, y: Column, points: Column) -> Column:
     return F.aggregate(F.transform(points, crosses), F.lit(0), lambda a, v: a + v) % 2 == 1
 
 
+def on_ring(x: Column, y: Column, points: Column) -> Column:
+    """Whether a point lies on a side of a ring; decimals of six digits decide, as orientation does near zero."""
+    n = F.size(points)
+
+    def on(p, i):
+        q = F.element_at(points, (i + 1) % n + 1)
+        inside = (x >= F.least(p["x"], q["x"])) & (x <= F.greatest(p["x"], q["x"])) & (y >= F.least(p["y"], q["y"])) & (y <= F.greatest(p["y"], q["y"]))
+        return inside & (orientation(p["x"], p["y"], q["x"], q["y"], x, y, 1e-6) == 0)
+
+    return F.exists(F.transform(points, on), lambda v: v)
+
+
 def closest_on_segment(px, py, x0, y0, x1, y1) -> tuple[Column, Column]:
     """Nearest point of a segment, its parameter kept within 0 and 1."""
     dx, dy = x1 - x0, y1 - y0

@@ -61,7 +61,8 @@ def sc_13_box_algebra(spark, d):
 @register("sc_05_point_in_ring", f"WITH {SEGMENTS} SELECT id FROM segments WHERE abs(x0) + abs(y0) < 120")
 def sc_05_point_in_ring(spark, d):
     ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((120, 0), (0, 120), (-120, 0), (0, -120))))
-    return segments(spark, d).filter(g.point_in_ring(F.col("x0"), F.col("y0"), ring)).select("id")
+    x, y = F.col("x0"), F.col("y0")
+    return segments(spark, d).filter(g.point_in_ring(x, y, ring) & ~g.on_ring(x, y, ring)).select("id")
 
 
 @register("flt_11_zero_length", f"WITH {SEGMENTS} SELECT id, layer FROM segments WHERE {LEN} >= 100")

@@ -47,3 +47,10 @@ def test_label_that_sticks_out_is_not_whole(spark):
     labels = spark.createDataFrame([(0, 8, 0.0, 1.0, 10.0, 2.0), (1, 9, 0.0, 1.0, 10.0, 2.0)], box)
     got = {r.label: r.method for r in scene.room_of_label(rooms, labels, 25.0).collect()}
     assert got == {8: "box_centre", 9: "box_whole"}
+
+
+def test_points_on_a_ring_are_not_inside(spark, tmp_path):
+    sides = [(sx * k, sy * (0.12 - k)) for k in (0.0, 0.03, 0.05032, 0.06, 0.0123, 0.12) for sx in (1, -1) for sy in (1, -1)]
+    got, want = against_sql(spark, tmp_path, "sc_05_point_in_ring", sides + [(0, 0), (-0.05, 0.06), (0.07, 0.06), (-0.05999, 0.06), (-0.06001, 0.06)])
+    assert got == want
+    assert [r[0] for r in got] == [24, 25, 27]
