@@ -54,3 +54,13 @@ def test_points_on_a_ring_are_not_inside(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "sc_05_point_in_ring", sides + [(0, 0), (-0.05, 0.06), (0.07, 0.06), (-0.05999, 0.06), (-0.06001, 0.06)])
     assert got == want
     assert [r[0] for r in got] == [24, 25, 27]
+
+
+def test_dashes_in_any_order(spark):
+    """The spread of 9, 15, 7, 9 is three tenths of its mean, so it is not under it; a piece of unknown length is a piece."""
+    ways = sorted(set(itertools.permutations((9.0, 15.0, 7.0, 9.0))))
+    rows = [(i, k, x) for i, way in enumerate(ways) for k, x in enumerate(way)]
+    rows += [(100 + i, k, x) for i, way in enumerate([(9.0, 14.0, 7.0, 9.0), (5.0, 5.0, None), (5.0, 5.0), (0.0, 0.0, 0.0), (5.1, 5.1, 5.1)]) for k, x in enumerate(way)]
+    t = spark.createDataFrame(rows, "id long, k int, length double").coalesce(1).sortWithinPartitions("id", "k")
+    got = {r.id: r.dashed for r in t.groupBy("id").agg(rules.is_dashed(F.col("length")).alias("dashed")).collect()}
+    assert got == {i: False for i in range(len(ways))} | {100: True, 101: True, 102: False, 103: True, 104: True}
