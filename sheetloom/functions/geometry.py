@@ -23,9 +23,14 @@ def orientation(ax, ay, bx, by, cx, cy, eps: float = 0.0) -> Column:
 
 
 def ring_area(points: Column) -> Column:
-    """Signed shoelace area of an array of structs x, y; positive is counter-clockwise."""
+    """Signed shoelace area of an array of structs x, y; positive is counter-clockwise.
+
+    Places are taken from the first point, so the digits of a ring far from zero are not lost, and a box has the product of its sides."""
     n = F.size(points)
-    pair = lambda p, i: p["x"] * F.element_at(points, (i + 1) % n + 1)["y"] - F.element_at(points, (i + 1) % n + 1)["x"] * p["y"]
+    first = F.try_element_at(points, F.lit(1))
+    off = lambda p, c: p[c] - first[c]
+    after = lambda i, c: off(F.element_at(points, (i + 1) % n + 1), c)
+    pair = lambda p, i: off(p, "x") * after(i, "y") - after(i, "x") * off(p, "y")
     return F.aggregate(F.transform(points, pair), F.lit(0.0), lambda a, v: a + v) / 2
 
 

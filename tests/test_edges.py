@@ -64,3 +64,23 @@ def test_dashes_in_any_order(spark):
     t = spark.createDataFrame(rows, "id long, k int, length double").coalesce(1).sortWithinPartitions("id", "k")
     got = {r.id: r.dashed for r in t.groupBy("id").agg(rules.is_dashed(F.col("length")).alias("dashed")).collect()}
     assert got == {i: False for i in range(len(ways))} | {100: True, 101: True, 102: False, 103: True, 104: True}
+
+
+def test_boxes_of_one_size_have_one_area(spark):
+    """A box has the product of its sides as area, wherever it lies: of two boxes of one size neither is the larger."""
+    rnd = random.Random(9)
+    rows = [tuple(round(rnd.uniform(-300, 300), 1) for _ in range(2)) + (round(rnd.uniform(20, 90), 1), round(rnd.uniform(20, 90), 1)) for _ in range(500)]
+    b = spark.createDataFrame(rows, "x0 double, y0 double, w double, h double").selectExpr("x0", "y0", "x0 + w as x1", "y0 + h as y1")
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    a = b.select(g.ring_area(F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y1"), p("x0", "y1"))).alias("a"), F.expr("(x1 - x0) * (y1 - y0)").alias("b")).toPandas()
+    pd.testing.assert_series_equal(a["a"], a["b"], check_names=False, check_exact=True)
+    assert b.limit(1).select(g.ring_area(F.array().cast("array<struct<x:double,y:double>>")).alias("a")).first().a == 0
+
+
+def test_nesting_of_boxes_of_one_size(spark, tmp_path):
+    """Boxes of a few sizes on a fine grid, many of one area: parents and depths as the SQL has them."""
+    rnd = random.Random(4)
+    at = lambda: round(rnd.randint(-40, 40) * 0.0013, 4)
+    vectors = [(0, 0, 0, 0, at(), at(), rnd.choice((0.01, 0.0137, 0.02)), rnd.choice((0.01, 0.0137, 0.02))) for _ in range(300)]
+    got, want = against_sql(spark, tmp_path, "gr_09_nesting", vectors)
+    assert got == want
