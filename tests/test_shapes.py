@@ -93,3 +93,41 @@ def test_clipped_segments(spark):
             assert 2 - 1e-9 <= min(p.x0, p.x1) and max(p.x0, p.x1) <= 8 + 1e-9 and 3 - 1e-9 <= min(p.y0, p.y1) and max(p.y0, p.y1) <= 7 + 1e-9
             if inside:
                 assert max(abs(a - b) for a, b in zip((p.x0, p.y0, p.x1, p.y1), (*at(inside[0]), *at(inside[-1])), strict=True)) <= step
+
+
+def test_faces_by_tiles(spark, sf, monkeypatch):
+    """Faces and rings traced in many small tiles are those of half-edges followed in rounds, and few files are written."""
+    from pathlib import Path
+
+    from sheetloom.operators import graphs, topology
+    from sheetloom.plans.tables import segments
+
+    s = segments(spark, sf).filter("id < 120")
+    pieces = graphs.written(topology.split_at_crossings(s, 60.0))
+    half = graphs.written(topology.half_edges(graphs.written(topology.graph(pieces))))
+    monkeypatch.setattr(topology, "TILE_EDGES", 100)
+    got, want = ({r.face: r for r in f.collect()} for f in (topology.faces_of(pieces), topology.faces(half)))
+    assert {k: r.n for k, r in got.items()} == {k: r.n for k, r in want.items()}
+    assert all(abs(got[k].area - r.area) < 1e-6 for k, r in want.items())
+    got, want = ({r.ring_id: r for r in f.collect()} for f in (topology.loops_of(pieces, 1e-3, 0.5), topology.loops(half, 0.5)))
+    place = lambda r: [(round(p.x, 6), round(p.y, 6)) for p in r.points]
+    assert {k: place(r) for k, r in got.items()} == {k: place(r) for k, r in want.items()}
+    assert all(abs(got[k].signed_area - r.signed_area) < 1e-6 for k, r in want.items())
+    assert topology.faces_of(pieces.limit(0)).count() == topology.loops_of(pieces.limit(0)).count() == 0
+    monkeypatch.undo()
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    import __spark_entry__ as entry
+
+    assert entry.queries()["gr_06_faces"](spark, sf).count() > 20_000
+    assert size() - before < 20_000_000
+
+
+def test_numbers_in_the_order_of_their_text():
+    import numpy as np
+
+    from sheetloom.operators.topology import _text_order
+
+    v = np.array([0, -1, 1, 9, 10, 11, 12, 99, 100, 101, 110, 119, 1000, -10, -11, -100, -9, 123456789, 12345678, -123456789, 999999999999, 10**12])
+    assert [int(v[i]) for i in np.argsort(_text_order(v))] == sorted(map(int, v), key=lambda k: f"{k}:")
