@@ -33,10 +33,11 @@ def fill_gaps(segments: DataFrame, reach: float, angle: float | None = None) ->
 
     In each round every component takes its nearest other one, by distance and then ids, which is a step of
     the least spanning forest; so it is the same as taking all pairs by distance and keeping those that join
-    two components. angle (cosine) keeps pairs whose segments run on in nearly one direction."""
+    two components. Pairs that close a ring of shorter ones are left out where they are found, before any is written.
+    angle (cosine) keeps pairs whose segments run on in nearly one direction."""
     order = ("d", "a", "ea", "b", "eb")
-    links = graphs.written(gap_candidates(segments, reach, angle).select(*order))
-    joins = graphs.written(gap_candidates(segments, 1e-6).select("a", "b"))
+    links = graphs.written(graphs.least_forests(gap_candidates(segments, reach, angle).select(*order)))
+    joins = graphs.written(graphs.least_forests(gap_candidates(segments, 1e-6).select("a", "b")))
     out = None
     while True:
         comps = graphs.components(joins)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,66 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Edges of which a task keeps a forest at a time.
+FOREST_ROWS = 1 << 20
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Which edges, in their order, are in the least spanning forest: each component takes its first edge out, in rounds."""
+    kept, left = np.zeros(len(u), bool), np.arange(len(u))
+    n = int(max(u.max(), v.max())) + 1 if len(u) else 0
+    part = np.arange(n)
+    while True:
+        pu, pv = part[u[left]], part[v[left]]
+        out = pu != pv
+        left, pu, pv = left[out], pu[out], pv[out]
+        if not len(left):
+            return kept
+        first, other = np.full(n, len(u)), np.full(n, len(u))
+        first[pu[::-1]], other[pv[::-1]] = left[::-1], left[::-1]  # of equal places the last one stays, which is the first edge
+        first = np.minimum(first, other)
+        own = np.flatnonzero(first < len(u))
+        edge = first[own]
+        kept[edge] = True
+        to = np.arange(n)
+        to[own] = part[u[edge]] + part[v[edge]] - own
+        root = own[(to[to[own]] == own) & (own < to[own])]
+        to[root] = root
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        part = to[part]
+
+
+def least_forests(edges: DataFrame) -> DataFrame:
+    """edges (whole numbers a, b and others; equal in no two rows) without those that close a ring with rows before them, in the order of all columns.
+
+    What is left links the same nodes and holds the least spanning forest. Each task looks at its own rows, a portion and
+    the forest of those before at a time, so rows of many tasks may still close rings."""
+    names = edges.columns
+
+    def kept(t):
+        t = t.sort_by([(c, "ascending") for c in names])
+        a, b = (t[c].to_numpy() for c in ("a", "b"))
+        _, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        return t.filter(pa.array(_forest(at[: len(a)], at[len(a) :])))
+
+    def work(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n >= FOREST_ROWS:
+                forest = kept(pa.concat_tables(held))
+                held, n = [forest], forest.num_rows
+                if n > FOREST_ROWS // 2:
+                    yield from forest.to_batches()
+                    held, n = [], 0
+        if n:
+            yield from kept(pa.concat_tables(held)).to_batches()
+
+    return edges.mapInArrow(work, edges.schema)
+
+
 def component_sizes(edges: DataFrame) -> DataFrame:
     """(component, nodes, edges, most): size, edge count and greatest degree of each component of edges (a, b)."""
     comps = written(components(edges))

@@ -84,3 +84,30 @@ def test_nesting_of_boxes_of_one_size(spark, tmp_path):
     vectors = [(0, 0, 0, 0, at(), at(), rnd.choice((0.01, 0.0137, 0.02)), rnd.choice((0.01, 0.0137, 0.02))) for _ in range(300)]
     got, want = against_sql(spark, tmp_path, "gr_09_nesting", vectors)
     assert got == want
+
+
+def test_forests_keep_what_spans(spark, monkeypatch):
+    """Rows that close a ring with rows before them go, a portion at a time; what is left holds the least spanning forest."""
+    from sheetloom.operators import graphs
+
+    rnd = random.Random(2)
+    rows = sorted({(rnd.randint(0, 30), *sorted(rnd.sample(range(60), 2))) for _ in range(900)})
+    parent = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    least = set()
+    for r in rows:
+        if root(r[1]) != root(r[2]):
+            least.add(r)
+            parent[root(r[1])] = root(r[2])
+    for portion, parts in ((1 << 20, 1), (100, 1), (100, 3)):
+        monkeypatch.setattr(graphs, "FOREST_ROWS", portion)
+        df = spark.createDataFrame(rnd.sample(rows, len(rows)), "d long, a long, b long").repartition(parts)
+        got = {tuple(r) for r in graphs.least_forests(df).collect()}
+        assert least <= got and len(got) < len(rows) / 2
+        assert parts > 1 or portion < len(rows) or got == least
+    assert graphs.least_forests(df.limit(0)).count() == 0
