@@ -16,16 +16,15 @@ from .selection import top_k
 def gap_candidates(segments: DataFrame, reach: float, angle: float | None = None) -> DataFrame:
     """(a, ea, b, eb, d): pairs of ends of different segments within reach; angle (cosine) keeps pairs whose
     segments run on in nearly one direction."""
-    ends = spatial.endpoints(segments).withColumn("pid", F.col("id") * 2 + F.col("end"))
-    p = spatial.near_pairs(ends.select(F.col("pid").alias("id"), "x", "y"), reach, strict=False)
-    pairs = p.select(F.floor(F.col("a") / 2).alias("a"), (F.col("a") % 2).alias("ea"), F.floor(F.col("b") / 2).alias("b"), (F.col("b") % 2).alias("eb"), "d").filter("a <> b")
-    if angle is None:
-        return pairs
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     n = F.sqrt(dx * dx + dy * dy)
-    way = lambda side: segments.filter(n > 0).select(F.col("id").alias(side), (dx / n).alias(f"ux_{side}"), (dy / n).alias(f"uy_{side}"))
-    both = pairs.join(way("a"), "a").join(way("b"), "b")
-    return both.filter(F.abs(F.col("ux_a") * F.col("ux_b") + F.col("uy_a") * F.col("uy_b")) >= angle).select("a", "ea", "b", "eb", "d")
+    way = () if angle is None else ("ux", "uy")  # directions go with the ends, so pairs that do not run on are never moved
+    rows = segments if angle is None else segments.filter(n > 0).withColumns({"ux": dx / n, "uy": dy / n})
+    ends = spatial.endpoints(rows, way).withColumn("pid", F.col("id") * 2 + F.col("end"))
+    p = spatial.near_pairs(ends.select(F.col("pid").alias("id"), "x", "y", *way), reach, strict=False, carry=way)
+    if angle is not None:
+        p = p.filter(F.abs(F.col("ux_a") * F.col("ux_b") + F.col("uy_a") * F.col("uy_b")) >= angle)
+    return p.select(F.floor(F.col("a") / 2).alias("a"), (F.col("a") % 2).alias("ea"), F.floor(F.col("b") / 2).alias("b"), (F.col("b") % 2).alias("eb"), "d").filter("a <> b")
 
 
 def fill_gaps(segments: DataFrame, reach: float, angle: float | None = None) -> DataFrame:

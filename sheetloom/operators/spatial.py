@@ -15,19 +15,23 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def near_pairs(points: DataFrame, tol: float, id_col: str = "id", strict: bool = True, salts: int = 1) -> DataFrame:
-    """(a, b, d) for pairs of points a < b within tol.
+def near_pairs(points: DataFrame, tol: float, id_col: str = "id", strict: bool = True, salts: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, d) for pairs of points a < b within tol, and of each column of carry both points' values as c_a and c_b.
 
-    Each point sits in one cell of side tol and looks into the nine around it, so the join is on
-    cells and its cost follows the local density. salts deals a crowded cell over that many tasks."""
-    base = points.select(F.col(id_col).alias("id"), "x", "y").filter("x is not null and y is not null")
+    Each point sits in one cell of side tol and looks into its own and four of the eight around it, so the join is on
+    cells, each pair of cells meets once and the cost follows the local density. salts deals a crowded cell over that many tasks."""
+    base = points.select(F.col(id_col).alias("id"), "x", "y", *carry).filter("x is not null and y is not null")
     home = base.withColumns({"cx": _cell(F.col("x"), tol), "cy": _cell(F.col("y"), tol), "salt": F.pmod(F.xxhash64("id"), F.lit(salts))})
-    steps = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.lit(k).cast("long").alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in range(salts)))
-    look = home.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(steps).alias("s"))
-    look = look.select("id2", "x2", "y2", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), F.col("s.k").alias("salt"))
+    steps = F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), F.lit(k).cast("long").alias("k")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) for k in range(salts)))
+    second = [F.col(c).alias(f"{c}2") for c in ("id", "x", "y", *carry)]
+    look = home.select(*second, "cx", "cy", F.explode(steps).alias("s"))
+    look = look.select(*(f"{c}2" for c in ("id", "x", "y", *carry)), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), F.col("s.k").alias("salt"))
     d = g.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))
     near = d < tol if strict else d <= tol
-    return home.join(look, ["cx", "cy", "salt"]).filter((F.col("id") < F.col("id2")) & near).select(F.col("id").alias("a"), F.col("id2").alias("b"), d.alias("d"))
+    met = home.join(look, ["cx", "cy", "salt"]).filter(((F.col("id") < F.col("id2")) | (~F.col("own") & (F.col("id") > F.col("id2")))) & near)
+    turn = F.col("id") > F.col("id2")
+    both = [x for c in carry for x in (F.when(turn, F.col(f"{c}2")).otherwise(F.col(c)).alias(f"{c}_a"), F.when(turn, F.col(c)).otherwise(F.col(f"{c}2")).alias(f"{c}_b"))]
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), d.alias("d"), *both)
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, cell: float = 100.0, pad: float = 0.0) -> DataFrame:
@@ -75,10 +79,10 @@ def crossings(segments: DataFrame, cell: float = 50.0, closed: bool = True, skip
     return met.select(F.col("id").alias("a"), F.col("r_id").alias("b"), "p.x", "p.y")
 
 
-def endpoints(segments: DataFrame) -> DataFrame:
-    """(id, end, x, y): two rows for each segment."""
+def endpoints(segments: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, end, x, y): two rows for each segment, with its columns of carry."""
     ends = F.array(F.struct(F.lit(0).alias("end"), F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.lit(1).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")))
-    return segments.select("id", F.inline(ends))
+    return segments.select("id", F.inline(ends), *carry)
 
 
 def open_ends(segments: DataFrame, tol: float) -> DataFrame:

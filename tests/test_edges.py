@@ -111,3 +111,12 @@ def test_forests_keep_what_spans(spark, monkeypatch):
         assert least <= got and len(got) < len(rows) / 2
         assert parts > 1 or portion < len(rows) or got == least
     assert graphs.least_forests(df.limit(0)).count() == 0
+
+
+def test_pairs_of_ends_are_not_moved_again(spark, sf):
+    """Directions come with the ends: one join finds the pairs, and pairs that do not run on go at once."""
+    from sheetloom.operators import drawing
+    from sheetloom.plans.tables import segments
+
+    plan = drawing.gap_candidates(segments(spark, sf), 20.0, 0.95)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
