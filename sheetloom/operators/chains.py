@@ -9,12 +9,38 @@ from ..functions import geometry as g
 from . import graphs, spatial
 
 
+#: Ends in a cell, on average over the drawing.
+CELL_ENDS = 4
+
+
+def band_cells(segments: DataFrame, tol: float, size: float) -> DataFrame:
+    """segments (x0, y0, x1, y1 and more) with each cell cx, cy of width size in which on_segment() may find a point on them.
+
+    In a column of cells that is the stretch of y that the line passes there, widened by what tol leaves, within the padded box."""
+    dx, slope = F.col("x1") - F.col("x0"), F.try_divide(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))
+    lo, hi = (lambda a, b: F.least(a, b) - tol), (lambda a, b: F.greatest(a, b) + tol)
+    at = lambda v: F.floor(v / size)
+    cells = segments.withColumn("cx", F.explode(F.sequence(at(lo("x0", "x1")), at(hi("x0", "x1")))))
+    line = lambda x: F.col("y0") + (x - F.col("x0")) * slope
+    ya, yb = line(F.greatest(lo("x0", "x1"), F.col("cx") * size)), line(F.least(hi("x0", "x1"), (F.col("cx") + 1) * size))
+    slack = tol / F.abs(dx) + 1e-6 * size * (1 + F.abs(slope))
+    low = F.when(dx != 0, F.greatest(lo("y0", "y1"), F.least(ya, yb) - slack)).otherwise(lo("y0", "y1"))
+    high = F.when(dx != 0, F.least(hi("y0", "y1"), F.greatest(ya, yb) + slack)).otherwise(hi("y0", "y1"))
+    spans = cells.withColumns({"low__": at(low), "high__": at(high)}).filter("low__ <= high__")
+    return spans.withColumn("cy", F.explode(F.sequence("low__", "high__"))).drop("low__", "high__")
+
+
 def ends_on_segments(segments: DataFrame, tol: float, cell: float = 50.0) -> DataFrame:
-    """(id, end, on): ends (0 or 1) of segments (id, x0, y0, x1, y1) that lie on another segment, its own ends included."""
-    e = spatial.endpoints(segments).select("id", "end", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    met = spatial.overlap_pairs(e, spatial.with_envelope(segments), cell, pad=tol).filter("id <> r_id")
-    on = g.on_segment(F.col("x0"), F.col("y0"), *(F.col(f"r_s{c}") for c in ("x0", "y0", "x1", "y1")), tol)
-    return met.filter(on).select("id", "end", F.col("r_id").alias("on"))
+    """(id, end, on): ends (0 or 1) of segments (id, x0, y0, x1, y1) that lie on another segment, its own ends included.
+
+    An end is looked for along each segment, not in its box: in cells that have a few ends on average, of width cell at most."""
+    e = spatial.endpoints(segments).filter("x is not null and y is not null")
+    b = e.agg(F.count("*").alias("n"), F.min("x").alias("lx"), F.max("x").alias("hx"), F.min("y").alias("ly"), F.max("y").alias("hy")).first()
+    w, h = (b.hx - b.lx, b.hy - b.ly) if b.n else (0.0, 0.0)
+    size = max(min(cell, max((w * h * CELL_ENDS / max(1, b.n)) ** 0.5, max(w, h) * CELL_ENDS / max(1, b.n))), tol / 8, 1e-9)
+    own = e.select("id", "end", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    bands = band_cells(segments.select(F.col("id").alias("on"), "x0", "y0", "x1", "y1"), tol, size)
+    return own.join(bands, ["cx", "cy"]).filter((F.col("id") != F.col("on")) & g.on_segment(*map(F.col, ("x", "y", "x0", "y0", "x1", "y1")), tol)).select("id", "end", "on")
 
 
 def _half(segments: DataFrame, tol: float) -> DataFrame:

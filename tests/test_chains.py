@@ -75,3 +75,27 @@ def test_assignments_equal_the_sequential_rule(spark):
         want |= {r[0]: "overflow" for r in [r for r in own if r[0] not in want][:3]}
     assert got == want and set(want.values()) == {"assigned", "overflow"}
     assert "overflow" not in {r.reason for r in selection.assignments(df, ["item"], "owner", 0.25, 3, 2).collect()}
+
+
+def test_ends_are_looked_for_along_segments(spark):
+    """Random, flat, upright and empty segments against all pairs; a long segment has few cells beside those that it passes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(3)
+    c = lambda: round(rnd.uniform(-40, 40), 1)
+    rows = [(i, x, y, *rnd.choice([(c(), c()), (c(), y), (x, c()), (x, y), (x + 0.1, c())])) for i, (x, y) in enumerate((c(), c()) for _ in range(250))]
+    s = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    for tol in (5.0, 0.5, 1e-6):
+        want = set()
+        for i, *p in rows:
+            for end, (x, y) in enumerate((p[:2], p[2:])):
+                for k, x0, y0, x1, y1 in rows:
+                    if i != k and min(x0, x1) - tol <= x <= max(x0, x1) + tol and min(y0, y1) - tol <= y <= max(y0, y1) + tol and abs((x - x0) * (y1 - y0) - (y - y0) * (x1 - x0)) <= tol:
+                        want.add((i, end, k))
+        got = [tuple(r) for r in chains.ends_on_segments(s, tol).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert chains.ends_on_segments(s.limit(0), 1.0).count() == 0
+    slant = spark.createDataFrame([(0, 0.0, 0.0, 100.0, 100.0)], "id long, x0 double, y0 double, x1 double, y1 double")
+    assert chains.band_cells(slant, 1.0, 1.0).agg(F.count("*")).first()[0] < 500
