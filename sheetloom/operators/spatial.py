@@ -34,13 +34,18 @@ def near_pairs(points: DataFrame, tol: float, id_col: str = "id", strict: bool =
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), d.alias("d"), *both)
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, cell: float = 100.0, pad: float = 0.0) -> DataFrame:
+#: Right rows of a cell that one part of it has, where crowded cells are dealt.
+PART_ROWS = 1024
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, cell: float = 100.0, pad: float = 0.0, dealt: bool = False) -> DataFrame:
     """Joins two box tables (x0, y0, x1, y1 and more columns, right ones prefixed r_) where the boxes, right
     ones padded, meet. The boxes come as they are: padding and taking it off again would change their last digits.
 
     A box is listed under the cells it touches on the grid of its own size, four at most. A left box
     looks its cells up on every level that the right side has. A pair is given once, by the cell at the
-    lower corner of its common part."""
+    lower corner of its common part. With dealt, right rows (with an id) of crowded cells go to several parts, and left ones to
+    each of these: for drawings so dense that a few cells have most pairs."""
     r = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     lo_x, lo_y, hi_x, hi_y = F.col("r_x0") - pad, F.col("r_y0") - pad, F.col("r_x1") + pad, F.col("r_y1") + pad
     side = F.greatest(hi_x - lo_x, hi_y - lo_y, F.lit(cell))
@@ -48,12 +53,20 @@ def overlap_pairs(left: DataFrame, right: DataFrame, cell: float = 100.0, pad: f
     levels = sorted(x[0] for x in r.select("level__").distinct().collect())
     size = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
     span = lambda lo, hi, level: F.sequence(F.floor(lo / size(level)), F.floor(hi / size(level)))
-    r = r.withColumn("cell_x__", F.explode(span(lo_x, hi_x, F.col("level__")))).withColumn("cell_y__", F.explode(span(lo_y, hi_y, F.col("level__"))))
+    corner = lambda side, x, y: {f"{side}_x__": F.floor(x / size(F.col("level__"))), f"{side}_y__": F.floor(y / size(F.col("level__")))}
+    r = r.withColumns(corner("right", lo_x, lo_y)).withColumn("cell_x__", F.explode(span(lo_x, hi_x, F.col("level__")))).withColumn("cell_y__", F.explode(span(lo_y, hi_y, F.col("level__"))))
     l = left.withColumn("level__", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
-    l = l.withColumn("cell_x__", F.explode(span(F.col("x0"), F.col("x1"), F.col("level__")))).withColumn("cell_y__", F.explode(span(F.col("y0"), F.col("y1"), F.col("level__"))))
+    l = l.withColumns(corner("left", F.col("x0"), F.col("y0"))).withColumn("cell_x__", F.explode(span(F.col("x0"), F.col("x1"), F.col("level__")))).withColumn("cell_y__", F.explode(span(F.col("y0"), F.col("y1"), F.col("level__"))))
     meet = (F.col("x0") <= hi_x) & (lo_x <= F.col("x1")) & (F.col("y0") <= hi_y) & (lo_y <= F.col("y1"))
-    once = (F.floor(F.greatest(F.col("x0"), lo_x) / size(F.col("level__"))) == F.col("cell_x__")) & (F.floor(F.greatest(F.col("y0"), lo_y) / size(F.col("level__"))) == F.col("cell_y__"))
-    return l.join(r, ["level__", "cell_x__", "cell_y__"]).filter(meet & once).drop("level__", "cell_x__", "cell_y__")
+    once = (F.greatest("left_x__", "right_x__") == F.col("cell_x__")) & (F.greatest("left_y__", "right_y__") == F.col("cell_y__"))
+    keys = ["level__", "cell_x__", "cell_y__"]
+    if dealt:
+        crowded = r.groupBy(*keys).count().filter(F.col("count") > PART_ROWS).select(*keys, F.ceil(F.col("count") / PART_ROWS).alias("parts__"))
+        parts = F.coalesce("parts__", F.lit(1).cast("long"))
+        r = r.join(F.broadcast(crowded), keys, "left").withColumn("part__", F.pmod(F.xxhash64("r_id"), parts)).drop("parts__")
+        l = l.join(F.broadcast(crowded), keys, "left").withColumn("part__", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts__")
+        keys = [*keys, "part__"]
+    return l.join(r, keys).filter(once & meet).drop(*keys, "left_x__", "left_y__", "right_x__", "right_y__")
 
 
 def with_envelope(segments: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def crossings(segments: DataFrame, cell: float = 50.0, closed: bool = True, skip
     """(a, b, x, y) of segments a < b that meet. closed: touching counts; skip_shared: not at a common end; each: a row
     (id, x, y) for either segment instead."""
     box = with_envelope(segments).select("id", "sx0", "sy0", "sx1", "sy1", "x0", "y0", "x1", "y1")
-    pairs = overlap_pairs(box, box, cell).filter("id < r_id")
+    pairs = overlap_pairs(box, box, cell, dealt=True).filter("id < r_id")
     ends = [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1", "r_sx0", "r_sy0", "r_sx1", "r_sy1")]
     if skip_shared:
         for i in (0, 2):

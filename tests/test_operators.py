@@ -172,3 +172,15 @@ def test_orientation_of_near_collinear(spark):
     assert one(spark, g.orientation(*lits(0, 0, 1, 1, 2, 2), 1e-9)) == 0
     assert one(spark, g.orientation(*lits(0, 0, 1, 0, 0, 1))) == 1
     assert math.isclose(one(spark, g.aic(F.lit(1.0), F.lit(10.0), 2)), 4 + 10 * math.log(2 * math.pi * (1 + 1e-10)) + 10)
+
+
+def test_crowded_cells_are_dealt(spark, monkeypatch):
+    """Right rows of crowded cells in several parts give the same pairs, each once."""
+    import random
+
+    rnd = random.Random(8)
+    rows = [(i, x, y, x + rnd.choice((1.0, 9.0, 70.0)), y + rnd.choice((1.0, 9.0, 70.0))) for i, (x, y) in enumerate((rnd.uniform(0, 90), rnd.uniform(0, 90)) for _ in range(120))]
+    b = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    monkeypatch.setattr(spatial, "PART_ROWS", 3)
+    got = sorted((r.id, r.r_id) for r in spatial.overlap_pairs(b, b, 20.0, dealt=True).collect())
+    assert got == sorted((p[0], q[0]) for p in rows for q in rows if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4])
